@@ -6,11 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import heavy_hitters, percentiles, tokens
+from . import heavy_hitters, near_duplicates, percentiles, tokens
 
 TOP = 20
 
 
+SIMILAR = 0.6
+
+
+def _fasta(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fasta_records").withColumn("sequence", F.upper("sequence"))
+
+
+def p1_found(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_rows(_fasta(spark, sf_dir), "rec_ord", "sequence", SIMILAR)
+
+
+def p1_classes(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_classes(_fasta(spark, sf_dir), "rec_ord", "sequence", SIMILAR)
+
+
 def _sequences():
     return F.nullif(F.upper("sequence"), F.lit(""))
 
@@ -36,6 +51,8 @@ def p6_decoded(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
     **{name: getattr(percentiles, name) for name in ("p2_quality_by_run", "p2_quality_by_sample", "p2_quality_by_file", "p2_quality_by_day", "p2_barcodes_by_sample", "p2_barcodes_by_day")},
     "p4_found": p4_found,
     "p4_counts": p4_counts,
@@ -60,7 +77,19 @@ def _barcodes(group: str, key: str = "") -> str:
     return _percentiles(f"SELECT {key or group} AS g, barcode_detected AS value FROM barcode_stats WHERE barcode_detected <> -1", group)
 
 
+_RUNS = """WITH t AS (SELECT rec_ord, unnest(list_distinct(list_transform(range(1, length(sequence) - 6), lambda i: substr(upper(sequence), i, 8)))) AS k
+      FROM fasta_records WHERE length(sequence) >= 8), z AS (SELECT rec_ord, count(*) AS n FROM t GROUP BY 1),
+    o AS (SELECT a.rec_ord AS rec_a, b.rec_ord AS rec_b, count(*) AS n FROM t a JOIN t b USING (k) WHERE a.rec_ord < b.rec_ord GROUP BY 1, 2),
+    s AS (SELECT rec_a, rec_b FROM o JOIN z x ON rec_a = x.rec_ord JOIN z y ON rec_b = y.rec_ord WHERE o.n * 10 >= 6 * (x.n + y.n - o.n))
+    """
+
 ORACLES = {
+    "p1_found": _RUNS + "SELECT rec_a, rec_b FROM s",
+    "p1_classes": _RUNS + """, c AS (SELECT upper(sequence) AS q, min(rec_ord) AS class_id, count(*) AS n_copies FROM fasta_records WHERE length(sequence) >= 8 GROUP BY 1),
+    m AS (SELECT rec_ord AS id, class_id, n_copies FROM fasta_records JOIN c ON upper(sequence) = q),
+    l AS (SELECT class_id, count(*) AS n_links FROM (SELECT rec_a AS class_id, rec_b AS other FROM s UNION ALL SELECT rec_b, rec_a FROM s)
+      WHERE class_id IN (SELECT class_id FROM c) AND other IN (SELECT class_id FROM c) GROUP BY 1)
+    SELECT id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l USING (class_id)""",
     "p2_quality_by_run": _scores("seq_run"),
     "p2_quality_by_sample": _scores("sample_id"),
     "p2_quality_by_file": _scores("file_name"),
