@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import heavy_hitters, near_duplicates, percentiles, tokens
+from . import heavy_hitters, near_duplicates, percentiles, subjects, tokens
 
 TOP = 20
 
@@ -50,6 +50,21 @@ def p6_decoded(spark, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def _subjects(spark, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples")))
+
+
+def p8_found(spark, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject_code")
+
+
+def p8_composition(spark, sf_dir: str) -> DataFrame:
+    """Mails by subject; a mail with several counts for each."""
+    areas = table(spark, sf_dir, "subject_areas").select("subject_code", "title")
+    counted = _subjects(spark, sf_dir).groupBy("subject_code").agg(F.count("*").alias("n_mails"), F.sum("n_sentences").alias("n_sentences"))
+    return areas.join(counted, "subject_code", "left").fillna(0, ["n_mails", "n_sentences"])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -58,6 +73,8 @@ QUERIES = {
     "p4_counts": p4_counts,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 
