@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import heavy_hitters, near_duplicates, percentiles, subjects, tokens
+from . import heavy_hitters, mixing, near_duplicates, percentiles, subjects, tokens
 
 TOP = 20
 
@@ -50,6 +50,15 @@ def p6_decoded(spark, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def p7_mixture(spark, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark, sf_dir: str) -> DataFrame:
+    """The shares really reached."""
+    return mixing.shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def _subjects(spark, sf_dir: str) -> DataFrame:
     return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples")))
 
@@ -73,6 +82,8 @@ QUERIES = {
     "p4_counts": p4_counts,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
