@@ -97,6 +97,12 @@ def percentiles(freq: DataFrame, groups: list[str], probabilities: tuple[float,
 # queries
 
 
+def p2_quality_by_sample_day(spark, sf_dir: str) -> DataFrame:
+    """The finest parts, of which the tables by sample and by day are sums."""
+    reads = table(spark, sf_dir, "fastx_records").withColumn("read_day", F.col("read_day").cast("string"))
+    return percentiles(score_frequencies(reads, ["sample_id", "read_day"]), ["sample_id", "read_day"])
+
+
 def p2_quality_by_run(spark, sf_dir: str) -> DataFrame:
     return percentiles(score_frequencies(table(spark, sf_dir, "fastx_records"), ["seq_run"]), ["seq_run"])
 

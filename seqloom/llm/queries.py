@@ -77,7 +77,7 @@ def p8_composition(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
-    **{name: getattr(percentiles, name) for name in ("p2_quality_by_run", "p2_quality_by_sample", "p2_quality_by_file", "p2_quality_by_day", "p2_barcodes_by_sample", "p2_barcodes_by_day")},
+    **{name: getattr(percentiles, name) for name in ("p2_quality_by_sample_day", "p2_quality_by_run", "p2_quality_by_sample", "p2_quality_by_file", "p2_quality_by_day", "p2_barcodes_by_sample", "p2_barcodes_by_day")},
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p6_ids": p6_ids,
@@ -112,6 +112,7 @@ _RUNS = """WITH t AS (SELECT rec_ord, unnest(list_distinct(list_transform(range(
     """
 
 ORACLES = {
+    "p2_quality_by_sample_day": _scores("k", "{'sample_id': sample_id, 'read_day': CAST(read_day AS VARCHAR)}").replace("g AS k", "g.sample_id AS sample_id, g.read_day AS read_day"),
     "p1_found": _RUNS + "SELECT rec_a, rec_b FROM s",
     "p1_classes": _RUNS + """, c AS (SELECT upper(sequence) AS q, min(rec_ord) AS class_id, count(*) AS n_copies FROM fasta_records WHERE length(sequence) >= 8 GROUP BY 1),
     m AS (SELECT rec_ord AS id, class_id, n_copies FROM fasta_records JOIN c ON upper(sequence) = q),
