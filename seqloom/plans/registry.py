@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..operators import keyed_chunks, parse_records
-from . import problem_sql
+from . import kernel_queries, problem_sql, sample_queries, tier_queries
+
+_PLANS = (tier_queries, kernel_queries, sample_queries)
 
 QUERIES = {
     "p3_found": parse_records.p3_found,
@@ -12,6 +14,7 @@ QUERIES = {
     "p5_reads_by_sample": keyed_chunks.p5_reads_by_sample,
     "p5_reads_by_sequence": keyed_chunks.p5_reads_by_sequence,
     "p5_barcodes_by_sample": keyed_chunks.p5_barcodes_by_sample,
+    **{name: query for plan in _PLANS for name, query in plan.QUERIES.items()},
 }
 
-ORACLES = dict(problem_sql.ORACLES)
+ORACLES = problem_sql.ORACLES | {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
