@@ -186,7 +186,7 @@ def fitted(sent: DataFrame, areas: DataFrame, examples: DataFrame) -> Model:
     m.place[terms] = np.arange(len(terms))
     m.weight = (np.log(mails / np.array([counts[t] for t in terms])) ** 2).astype(np.float32)
     place, weight, size = m.place, m.weight, len(terms)
-    rank = min(RANK, size)
+    rank = min(RANK, max(2, size // 8))  # far below the number of terms, or nothing is drawn together
     cast = sent.sparkSession.sparkContext.broadcast
 
     # truncated singular value decomposition: subspace iteration, the last product also gives the values
@@ -237,6 +237,7 @@ def fitted(sent: DataFrame, areas: DataFrame, examples: DataFrame) -> Model:
     m.subject = np.array([*subject, *absent])
 
     # refinement over all sentences
+    seeds = m.centroids
     for turn in range(ROUNDS):
         sent_m = cast(m)
 
@@ -269,7 +270,8 @@ def fitted(sent: DataFrame, areas: DataFrame, examples: DataFrame) -> Model:
         m.spec = (np.clip(1 - entropy, 0, 1) * n.sum(1) / np.maximum(total, 1)).astype(np.float32)
         if turn:
             some = moved[:, rank] > 20
-            m.centroids[some] = _unit(moved[some, :rank]).astype(np.float32)
+            m.centroids = m.centroids.copy()
+            m.centroids[some] = _unit(_unit(moved[some, :rank]) + seeds[some]).astype(np.float32)  # the seeds stay an anchor
     return m
 
 
