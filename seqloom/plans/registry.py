@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators import keyed_chunks, parse_records
-from . import group_queries, io_queries, kernel_queries, problem_sql, sample_queries, tier_queries
+from . import group_queries, io_queries, kernel_queries, pipeline_queries, problem_sql, sample_queries, tier_queries
 
-_PLANS = (tier_queries, kernel_queries, sample_queries, group_queries, io_queries)
+_PLANS = (tier_queries, kernel_queries, sample_queries, group_queries, io_queries, pipeline_queries)
 
 QUERIES = {
     "p3_found": parse_records.p3_found,

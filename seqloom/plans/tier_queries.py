@@ -78,7 +78,7 @@ def length_vs_quality(spark, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (accepted_per_sample, tier_ladder, reject_reasons, accepted_per_file, length_histogram, quality_histogram, histogram_median, read_summary, run_quality_score, gc_table, length_vs_quality)}
 
 _W, _T = CONFIG.trim_width, int(CONFIG.trim_width * CONFIG.trim_threshold)
-_ALL = f"""{SCORED}, c AS (SELECT read_ord, n, i, sum(q[i]) OVER w AS cum, sum({ERROR.format('q[i]')}) OVER w AS err, sum(q[i]) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS s15, sum(q[i]) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s20
+_LADDER = f"""c AS (SELECT read_ord, n, i, sum(q[i]) OVER w AS cum, sum({ERROR.format('q[i]')}) OVER w AS err, sum(q[i]) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS s15, sum(q[i]) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s20
    FROM (SELECT read_ord, n, q, unnest(range(1, n + 1)) AS i FROM scored) WINDOW w AS (PARTITION BY read_ord ORDER BY i)),
  t1 AS (SELECT read_ord, n, max(CASE WHEN i = n THEN s15 END) AS last, max(CASE WHEN i >= 15 AND s15 >= {_T} AND i - 15 > greatest(n // 4, 15) AND i < n THEN i - 15 END) AS good FROM c GROUP BY 1, 2),
  t2 AS (SELECT read_ord, n, n < 60 AS gone, n BETWEEN 60 AND 99 AS shortish, CASE WHEN n < 60 OR n <= 15 OR last >= {_T} THEN n ELSE greatest(0, coalesce(good + 1, least(greatest(n // 4, 15) + 1, n - 15)) - 7) END AS l1 FROM t1),
@@ -92,6 +92,7 @@ _ALL = f"""{SCORED}, c AS (SELECT read_ord, n, i, sum(q[i]) OVER w AS cum, sum({
  graded AS (SELECT *, CASE WHEN gone OR f_acc OR f_win OR f_q OR run OR odd >= 2 THEN 'failed' WHEN shortish OR low OR p1 OR lowq OR odd > 0 THEN 'yellow' ELSE 'green' END AS tier, l2 AS length,
    gone OR shortish AS r_short, NOT gone AND low AS r_acc, NOT gone AND NOT f_acc AND p1 AS r_win, NOT gone AND NOT f_acc AND NOT f_win AND (f_q OR (lowq AND NOT p1)) AS r_q,
    NOT (gone OR f_acc OR f_win OR f_q) AND run AS r_run, NOT (gone OR f_acc OR f_win OR f_q OR run) AND odd > 0 AS r_odd FROM g1)"""
+_ALL = f"{SCORED}, {_LADDER}"
 _COUNTERS = {"total": "true", "green": "tier = 'green'", "yellow": "tier = 'yellow'", "failed": "tier = 'failed'", **{k: f"tier = 'failed' AND {c}" for k, c in {"short": "r_short", "long": "n > 1000", "accumulated_error": "r_acc", "low_quality": "r_q", "window": "r_win", "binomial": "false", "homopolymer": "r_run", "ambiguous": "r_odd"}.items()}, "tail_trimmed": "false", "window_trimmed": "window_trimmed", "error_trimmed": "error_trimmed"}
 _HIST = "{e} AS (SELECT {k}, unnest(range(min(bin), max(bin) + 1)) AS bin FROM b GROUP BY 1), k AS (SELECT {k}, bin, count(*) AS n FROM b GROUP BY 1, 2)"
 _MEASURED = SCORED + f", m AS (SELECT *, list_sum(q) / n AS average, list_sort(q)[n // 2 + 1] AS median, coalesce(list_sum(list_transform(list_filter(q, lambda x: x >= 0), lambda x: {ERROR.format('x')})), 0) AS acc FROM scored)"
