@@ -155,19 +155,16 @@ def p5_barcodes_by_sample(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    """Keys with more than 3 % of all rows of their table; the shares come from the chunked results."""
-
-    def of(states: DataFrame, name: str, field: str) -> DataFrame:
-        return states.select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), F.col(field).alias("key_text"), "n_rows")
-
+    """Keys with more than 3 % of all rows of their table; the rows of a key come from the chunked results, those of the
+    table from the files' metadata."""
     parts = [
-        of(p5_reads_by_sample(spark, sf_dir), "fastx_records", "sample_id"),
-        of(p5_reads_by_sequence(spark, sf_dir), "fastx_records", "sequence"),
-        of(p5_barcodes_by_sample(spark, sf_dir), "barcode_stats", "sample_id"),
+        (p5_reads_by_sample(spark, sf_dir), "fastx_records", "sample_id"),
+        (p5_reads_by_sequence(spark, sf_dir), "fastx_records", "sequence"),
+        (p5_barcodes_by_sample(spark, sf_dir), "barcode_stats", "sample_id"),
+    ]
+    everything = {name: table(spark, sf_dir, name).count() for name in ("fastx_records", "barcode_stats")}
+    found = [
+        states.filter((F.col(field) != "") & (F.col("n_rows") * 100 > 3 * everything[name])).select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), F.col(field).alias("key_text"))
+        for states, name, field in parts
     ]
-    found = []
-    for part in parts:
-        totals = part.groupBy("table_name", "field_name").agg(F.sum("n_rows").alias("all_rows"))  # one row
-        heavy = part.filter(F.col("key_text") != "").join(F.broadcast(totals), ["table_name", "field_name"])
-        found.append(heavy.filter(F.col("n_rows") * 100 > F.col("all_rows") * 3).select("table_name", "field_name", "key_text"))
     return found[0].unionByName(found[1]).unionByName(found[2])
