@@ -18,16 +18,16 @@ def range_sorted(df: DataFrame, group: list[str], order: list[str]) -> DataFrame
     return written(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, inclusive: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, inclusive: bool = True, ranged: bool = False) -> DataFrame:
     """df with the sum of `value` over the rows of its group up to this one in `out`.
 
     A group may hold any share of the rows: it is cut by range partitions, each of which
     sums its own piece; the pieces' totals (one row a group and partition) become offsets.
     Rows that are equal in `order` are summed in an arbitrary order; put a unique column
     last where that matters. Null values count 0; null groups form a group. `df` must not
-    have columns `_part`, `_off` or `_here`.
+    have columns `_part`, `_off` or `_here`, but for ranged=True, which says that range_sorted() made it.
     """
-    ranged = range_sorted(df, group, order)
+    ranged = df if ranged else range_sorted(df, group, order)
     piece = Window.partitionBy("_part", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_here"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
