@@ -85,8 +85,8 @@ def mean_quality(reads: DataFrame, key: str, quality: str = "quality", offset: s
             flat, at = text_bytes(batch.column(1))
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
-            score = np.maximum(flat.astype(np.int64) - batch.column(2).to_numpy(zero_copy_only=False)[row], 0)
-            coded = batch.column(0).dictionary_encode()
+            score = np.maximum(flat.astype(np.int64) - batch.column(2).fill_null(33).to_numpy(zero_copy_only=False)[row], 0)
+            coded = batch.column(0).dictionary_encode("encode")  # a null key is a key
             width = max(1, int(n.max(initial=1)))
             pair = coded.indices.to_numpy().astype(np.int64)[row] * width + np.arange(len(flat)) - at[:-1][row]
             found, back = np.unique(pair, return_inverse=True)
