@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running_sum
+from ..operators.prefix import range_sorted, running_sum
 from ..session import table
 
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -83,8 +83,9 @@ def percentiles(freq: DataFrame, groups: list[str], probabilities: tuple[float,
     A null group is a group; groups without values don't come out; an empty table gives no rows. `freq` may be
     merged from parts, but must have one row for a group and value.
     """
-    cumulated = running_sum(freq.select(*groups, "value", "n"), groups, ["value"], "n", "_cum")
-    totals = freq.groupBy(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(groups)]).agg(F.sum("n").alias("_all"))
+    ranged = range_sorted(freq.select(*groups, "value", "n"), groups, ["value"])  # from here on the values aren't read again
+    cumulated = running_sum(ranged, groups, ["value"], "n", "_cum", ranged=True)
+    totals = ranged.groupBy(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(groups)]).agg(F.sum("n").alias("_all"))
     same = F.lit(True)
     for i, g in enumerate(groups):
         same &= F.col(g).eqNullSafe(F.col(f"_t{i}"))
