@@ -50,9 +50,13 @@ class Scores:
 
     def median(self) -> np.ndarray:
         """The upper median of all scores; 0 for an empty read."""
-        order = np.lexsort((self.q, self.row))
-        at = np.minimum(self.start + self.n // 2, max(0, len(self.q) - 1))
-        return np.where(self.n > 0, self.q[order][at] if len(self.q) else 0, 0)
+        if not len(self.q):
+            return np.zeros(len(self.n), np.int64)
+        low, span = int(self.q.min()), int(self.q.max() - self.q.min()) + 1
+        small = np.int32 if len(self.n) * span < 1 << 31 else np.int64
+        both = np.sort(self.row.astype(small) * small(span) + (self.q - low).astype(small))  # one number for row and score
+        at = np.minimum(self.start + self.n // 2, len(self.q) - 1)
+        return np.where(self.n > 0, both[at] % span + low, 0)
 
     def accumulated_error(self) -> np.ndarray:
         p = np.where(self.q >= 0, error_of(self.q), 0.0)
@@ -132,23 +136,27 @@ class Scores:
         return out
 
 
-def measures(quality: Column, offset: Column, width: int = 15, threshold: float = 20, budget: float = 1.0, look: int = 50, floor: float = 25, most: int = 2, alpha: float = 0.005) -> Column:
-    """A struct of all measures of a read, in one pass over its scores."""
+MEASURES = {"average": "double", "median": "int", "accumulated_error": "double", "budget_position": "int", "trimmed_length": "int", "window_poor": "boolean", "expected_errors": "double"}
 
-    @F.arrow_udf("average double, median int, accumulated_error double, budget_position int, trimmed_length int, window_poor boolean, expected_errors double")
+
+def measures(quality: Column, offset: Column, only: tuple[str, ...] = (), width: int = 15, threshold: float = 20, budget: float = 1.0, look: int = 50, floor: float = 25, most: int = 2, alpha: float = 0.005) -> Column:
+    """A struct of measures of a read (of MEASURES those named in `only`, or all), in one pass over its scores."""
+    names = only or tuple(MEASURES)
+
+    @F.arrow_udf(", ".join(f"{n} {MEASURES[n]}" for n in names))
     def kernel(q: pa.Array, o: pa.Array) -> pa.Array:
         s = Scores(q, o)
         n = s.n
-        columns = [
-            pa.array(s.mean(n)),
-            pa.array(s.median().astype(np.int32)),
-            pa.array(s.accumulated_error()),
-            pa.array(s.budget(budget, n).astype(np.int32)),
-            pa.array(s.trimmed(width, threshold, n).astype(np.int32)),
-            pa.array(s.window_poor(look, floor, n)),
-            pa.array(s.expected_errors(most, alpha, n)),
-        ]
-        return pa.StructArray.from_arrays(columns, ["average", "median", "accumulated_error", "budget_position", "trimmed_length", "window_poor", "expected_errors"])
+        make = {
+            "average": lambda: pa.array(s.mean(n)),
+            "median": lambda: pa.array(s.median().astype(np.int32)),
+            "accumulated_error": lambda: pa.array(s.accumulated_error()),
+            "budget_position": lambda: pa.array(s.budget(budget, n).astype(np.int32)),
+            "trimmed_length": lambda: pa.array(s.trimmed(width, threshold, n).astype(np.int32)),
+            "window_poor": lambda: pa.array(s.window_poor(look, floor, n)),
+            "expected_errors": lambda: pa.array(s.expected_errors(most, alpha, n)),
+        }
+        return pa.StructArray.from_arrays([make[x]() for x in names], list(names))
 
     return kernel(quality, offset)
 

@@ -81,13 +81,21 @@ def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple[int, int
     return out
 
 
-def _score(p: np.ndarray, q: np.ndarray, agree: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(p, q), np.maximum(p, q)
-    right = p * q / 3 / (1 - p - q + 4 * p * q / 3)
-    wrong = low * (1 - high / 3) / np.maximum(p + q - 4 * p * q / 3, 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.floor(-10 * np.log10(np.where(agree, right, wrong)) + 0.5)
-    return np.clip(np.nan_to_num(score, nan=0, posinf=TOP_SCORE, neginf=0), 0, TOP_SCORE)
+TOP = 94
+
+
+def _score_table() -> np.ndarray:
+    """Score of a base by [the mates agree, score of one, score of the other]."""
+    q = np.arange(TOP)
+    p, r = error_of(q)[:, None], error_of(q)[None, :]
+    low, high = np.minimum(p, r), np.maximum(p, r)
+    right = p * r / 3 / np.maximum(1 - p - r + 4 * p * r / 3, 1e-12)
+    wrong = low * (1 - high / 3) / (p + r - 4 * p * r / 3)
+    made = np.floor(-10 * np.log10(np.maximum(np.stack((wrong, right)), 1e-12)) + 0.5)
+    return np.clip(made, 0, TOP_SCORE).astype(np.int64)
+
+
+SCORES = _score_table()
 
 
 MERGED = "seq string, quality string, overlap int, mismatches int, merge_length int"
@@ -125,7 +133,7 @@ def merged(seq1: Column, quality1: Column, seq2: Column, quality2: Column, offse
             agree = u == v
             second = (qv > pu) & PLAIN[v] | (PLAIN[v] & ~PLAIN[u])
             core = np.where(second, v, u)
-            score = _score(error_of(np.maximum(pu, 0)), error_of(np.maximum(qv, 0)), agree)
+            score = SCORES[agree.astype(np.int64), np.clip(pu, 0, TOP - 1), np.clip(qv, 0, TOP - 1)]
             head, tail = (x[:i0], p[:i0]) if d >= 0 else (x[:0], p[:0]), (y[j0 + size :], q[j0 + size :]) if m - j0 > n - i0 else (y[:0], q[:0])
             seq = np.concatenate((head[0], core, tail[0]))
             qual = np.clip(np.concatenate((head[1], score, tail[1])), 0, 93).astype(np.uint8) + 33

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as fq
 from ..functions import sequence as fs
-from ..session import table
+from ..session import spread, table
 
 
 def reads(spark, sf_dir: str) -> DataFrame:
     """Reads with as many scores as bases: read_ord, seq_run, file_name, sample_id, mate, header, read_id, seq, quality, qual_offset."""
     r = table(spark, sf_dir, "fastx_records")
     r = r.filter((F.col("sequence") != "") & (F.length("sequence") == F.length("quality")) & F.col("qual_offset").isNotNull())
-    return r.select("read_ord", "seq_run", "file_name", "sample_id", "mate", "header", "read_id", F.upper("sequence").alias("seq"), "quality", "qual_offset")
+    return spread(r).select("read_ord", "seq_run", "file_name", "sample_id", "mate", "header", "read_id", F.upper("sequence").alias("seq"), "quality", "qual_offset")
 
 
 def tagged(spark, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def samples(spark, sf_dir: str) -> DataFrame:
     return s.withColumns(upper)
 
 
-def measured(spark, sf_dir: str) -> DataFrame:
+def measured(spark, sf_dir: str, *only: str) -> DataFrame:
+    """Reads with the measures named."""
     r = reads(spark, sf_dir)
-    return r.withColumn("m", fq.measures(F.col("quality"), F.col("qual_offset"))).select("*", "m.*").drop("m")
+    return r.withColumn("m", fq.measures(F.col("quality"), F.col("qual_offset"), only)).select("*", "m.*").drop("m")
 
 
 READS = """reads AS (SELECT read_ord, seq_run, file_name, sample_id, mate, header, read_id, upper(sequence) AS seq, quality, qual_offset, length(sequence) AS n

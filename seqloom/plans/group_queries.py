@@ -186,7 +186,7 @@ def seed_percentiles(spark, d: str) -> DataFrame:
 def best_representative(spark, d: str) -> DataFrame:
     scan = positioned(table(spark, d, "fastx_records"), "read_ord", F.upper("sequence").alias("seq"), "quality", "qual_offset")
     scan = scan.filter("seq <> '' AND length(seq) = length(quality) AND qual_offset IS NOT NULL")
-    m = scan.withColumn("m", fq.measures(F.col("quality"), F.col("qual_offset"))).withColumn("key", F.substr("seq", F.lit(1), F.lit(40)))
+    m = scan.withColumn("m", fq.measures(F.col("quality"), F.col("qual_offset"), ("average", "accumulated_error"))).withColumn("key", F.substr("seq", F.lit(1), F.lit(40)))
     none = F.lit(None).cast("double")
     rows = m.select("key", "read_ord", "_path", "_block", "_row", fs.ambiguous(F.col("seq")).alias("odd"), F.col("m.accumulated_error").alias("error"), F.col("m.average").alias("quality"), F.length("seq").alias("length"), none.alias("identity"), none.alias("merge_length"), F.lit(1).alias("size"))
     return representatives(rows, "key", ["read_ord"])

@@ -20,29 +20,29 @@ def cut_five_prime(spark, d: str) -> DataFrame:
 
 
 def average_median_quality(spark, d: str) -> DataFrame:
-    return measured(spark, d).select("read_ord", F.round("average", 6).alias("average"), "median")
+    return measured(spark, d, "average", "median").select("read_ord", F.round("average", 6).alias("average"), "median")
 
 
 def accumulated_error(spark, d: str) -> DataFrame:
-    return measured(spark, d).select("read_ord", F.round("accumulated_error", 6).alias("accumulated_error"))
+    return measured(spark, d, "accumulated_error").select("read_ord", F.round("accumulated_error", 6).alias("accumulated_error"))
 
 
 def error_budget_trim(spark, d: str) -> DataFrame:
-    m = measured(spark, d)
+    m = measured(spark, d, "budget_position")
     return m.select("read_ord", "budget_position", F.expr("substr(seq, 1, budget_position)").alias("kept"))
 
 
 def window_trim3(spark, d: str) -> DataFrame:
-    return measured(spark, d).select("read_ord", "trimmed_length")
+    return measured(spark, d, "trimmed_length").select("read_ord", "trimmed_length")
 
 
 def window_reject(spark, d: str) -> DataFrame:
-    m = measured(spark, d)
+    m = measured(spark, d, "window_poor", "average")
     return m.select("read_ord", "window_poor", F.round(F.when(F.col("window_poor"), 0.0).otherwise(F.col("average")), 6).alias("mean_quality"))
 
 
 def expected_errors(spark, d: str) -> DataFrame:
-    return measured(spark, d).select("read_ord", F.round("expected_errors", 6).alias("expected_errors"), (F.col("expected_errors") > 2.5).alias("rejected"))
+    return measured(spark, d, "expected_errors").select("read_ord", F.round("expected_errors", 6).alias("expected_errors"), (F.col("expected_errors") > 2.5).alias("rejected"))
 
 
 def ambiguity_homopolymer(spark, d: str) -> DataFrame:

@@ -48,21 +48,21 @@ def length_histogram(spark, d: str) -> DataFrame:
 
 
 def quality_histogram(spark, d: str) -> DataFrame:
-    return reports.histogram(measured(spark, d), F.floor(F.col("average") + 0.5), ["mate"])
+    return reports.histogram(measured(spark, d, "average"), F.floor(F.col("average") + 0.5), ["mate"])
 
 
 def histogram_median(spark, d: str) -> DataFrame:
-    h = reports.histogram(measured(spark, d), F.length("seq"), ["seq_run"])
+    h = reports.histogram(reads(spark, d), F.length("seq"), ["seq_run"])
     return reports.histogram_median(h, ["seq_run"])
 
 
 def read_summary(spark, d: str) -> DataFrame:
-    s = reports.summary(measured(spark, d).withColumn("n", F.length("seq")), ["seq_run", "mate"], "n", "average", "accumulated_error")
+    s = reports.summary(measured(spark, d, "average", "accumulated_error").withColumn("n", F.length("seq")), ["seq_run", "mate"], "n", "average", "accumulated_error")
     return s.select("seq_run", "mate", "n_reads", "min_length", "max_length", *[F.round(c, 4).alias(c) for c in ("mean_length", "mean_quality", "mean_error")])
 
 
 def run_quality_score(spark, d: str) -> DataFrame:
-    s = reports.run_score(measured(spark, d).withColumn("n", F.length("seq")), ["seq_run"], "n", "average", 100, 27)
+    s = reports.run_score(measured(spark, d, "average").withColumn("n", F.length("seq")), ["seq_run"], "n", "average", 100, 27)
     return s.select("seq_run", F.round("score", 5).alias("score"))
 
 
@@ -72,7 +72,7 @@ def gc_table(spark, d: str) -> DataFrame:
 
 
 def length_vs_quality(spark, d: str) -> DataFrame:
-    return measured(spark, d).select("read_ord", F.length("seq").alias("length"), F.round("average", 4).alias("average"), "median")
+    return measured(spark, d, "average", "median").select("read_ord", F.length("seq").alias("length"), F.round("average", 4).alias("average"), "median")
 
 
 QUERIES = {f.__name__: f for f in (accepted_per_sample, tier_ladder, reject_reasons, accepted_per_file, length_histogram, quality_histogram, histogram_median, read_summary, run_quality_score, gc_table, length_vs_quality)}

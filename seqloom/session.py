@@ -22,6 +22,8 @@ def local_session(cores: int = 8, app: str = "seqloom", **conf: str) -> SparkSes
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.memory": "8g",
+        "spark.sql.files.maxPartitionBytes": "2m",
+        "spark.sql.files.openCostInBytes": "0",
     }
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
@@ -53,6 +55,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer tasks than half of them.
+
+    A small file of one row group is one task, which per-base kernels would keep busy alone. Tables of a size that
+    matters have more row groups than there are cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
