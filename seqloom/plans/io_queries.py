@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import rebased
-from ..session import shared_dir, table
+from ..session import scratch, table
 from ..sources import fastx, sinks
 from ..streaming import ingest
 from .base import READS, SCORED, reads
 from .tier_queries import _ALL, _COUNTERS, CONFIG
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-
-
 def fastq_render(spark, d: str) -> DataFrame:
     q = rebased(F.col("quality"), F.col("qual_offset"))
     return reads(spark, d).withColumn("q", q).select("read_ord", sinks.fastq_text(F.col("read_id"), F.col("seq"), F.col("q")).alias("record"))
@@ -34,14 +28,14 @@ def qual_render(spark, d: str) -> DataFrame:
 
 def fastq_scan(spark, d: str) -> DataFrame:
     """Reads written as FASTQ and read again."""
-    path = _folder(spark)
+    path = scratch(spark)
     sinks.write_fastq(reads(spark, d).filter("read_id <> ''"), path)
     return fastx.read_fastx(spark, path, offset="33", rangebytes="300000").select("read_id", F.col("sequence").alias("seq"), "quality")
 
 
 def fasta_scan(spark, d: str) -> DataFrame:
     """Records written as wrapped, compressed FASTA and read again."""
-    path = _folder(spark)
+    path = scratch(spark)
     f = table(spark, d, "fasta_records").filter("sequence <> '' AND read_id <> ''").select("read_id", F.upper("sequence").alias("seq"))
     sinks.write_fasta(f, path, gzip=True)
     return fastx.read_fastx(spark, path).select("read_id", F.col("sequence").alias("seq"))
@@ -49,11 +43,11 @@ def fasta_scan(spark, d: str) -> DataFrame:
 
 def stream_counters(spark, d: str) -> DataFrame:
     """Counters of a stream of files, added up over its micro-batches."""
-    path = _folder(spark)
+    path = scratch(spark)
     source = table(spark, d, "fastx_records")
     rows = ingest.stream_reads(spark, f"{d}/fastx_records.parquet*", source.schema)
     good = rows.filter("sequence <> '' AND length(sequence) = length(quality) AND qual_offset IS NOT NULL").withColumn("seq", F.upper("sequence"))
-    ingest.write_parts(ingest.grade_stream(good, CONFIG), path, f"{path}-state").awaitTermination()
+    ingest.write_parts(ingest.grade_stream(good, CONFIG), path, f"{path}/state").awaitTermination()
     return ingest.merged_counters(spark, path)
 
 

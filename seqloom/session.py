@@ -41,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it back.
 
@@ -49,9 +56,8 @@ def written(df: DataFrame) -> DataFrame:
     removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
