@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import heavy_hitters, mixing, near_duplicates, percentiles, subjects, tokens
 
 TOP = 20
@@ -40,12 +40,12 @@ def p4_counts(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
-    return tokens.encode_column(table(spark, sf_dir, "documents"), ["doc_id"])
+    return tokens.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def p6_decoded(spark, sf_dir: str) -> DataFrame:
     """Each text through the encoder and back; `same` is false where anything got lost."""
-    ids = tokens.encode_column(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    ids = tokens.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id", "text"])
     back = tokens.decode_column(ids, ["doc_id", "text"])
     return back.select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
@@ -60,7 +60,8 @@ def p7_shares(spark, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark, sf_dir: str) -> DataFrame:
-    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return subjects.subjects_of(docs, table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_examples"))
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
