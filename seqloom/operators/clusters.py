@@ -104,6 +104,13 @@ def derep_map(lines: DataFrame, line: str = "line", order: str = "line_no") -> t
     return named, occ
 
 
+def with_reads(occ: DataFrame, reads: DataFrame, read_id: str = "read_id") -> tuple[DataFrame, DataFrame]:
+    """Reads of a dereplication map with their size, and the ids of the map that no read has."""
+    sizes = occ.groupBy("query").agg(F.max("size").alias("size"))
+    named = reads.withColumn("query", without_size(F.col(read_id)))
+    return named.join(sizes, "query"), sizes.join(named, "query", "left_anti").select("query")
+
+
 def derep_map_problems(occ: DataFrame) -> DataFrame:
     """Reads whose counts by sample don't add up to their size."""
     return occ.groupBy("query").agg(F.max("size").alias("size"), F.sum("n").alias("counted")).filter(~F.col("size").eqNullSafe(F.col("counted")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,5 +95,10 @@ def demultiplexed(reads: DataFrame, samples: DataFrame, config: FilterConfig, qu
     return g.withColumn("tier", F.when(none, "unassigned").when(lost, "failed").otherwise(F.col("tier")))
 
 
+def seed_config(config: FilterConfig, merged: bool = False) -> FilterConfig:
+    """Thresholds for reads that may become seeds: a short, strict end trim, or none for merged reads; no other filter."""
+    return replace(config, trim_width=10, trim_threshold=0 if merged else 25, min_length=1, min_length_2=None, min_quality=0, min_quality_2=None, window_threshold=0, max_accumulated_error=None, alpha=-1)
+
+
 def _width(samples: DataFrame) -> int:
     return samples.agg(F.max(F.length("barcode_sequence"))).first()[0] or 0

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import revcomp_text
 from seqloom.operators import clusters, concatemers, derep, pairs
+from seqloom.operators.config import FilterConfig
 from seqloom.operators.keyed_chunks import positioned
+from seqloom.operators.pipeline import seed_config
 from seqloom.operators.representatives import DEREP, Tournament, representatives
 
 
@@ -122,3 +124,17 @@ def test_concatemers(spark):
     assert concatemers.split(df, "s", "id", "f", "r", 0, least=4).count() == 0
     stats = {x.n_amplicons: (x.n_reads, x.n_bases) for x in concatemers.statistics(df, "s", "f", "r", [], 0).collect()}
     assert stats == {0: (3, 0), 3: (1, 150)}
+
+
+def test_map_and_reads(spark):
+    occ = spark.createDataFrame([("a", 5, 0, 5), ("b", 2, 0, 2)], "query string, size int, idx int, n int")
+    reads = spark.createDataFrame([("a;size=5;", "AC"), ("c", "GG")], "read_id string, seq string")
+    found, lost = clusters.with_reads(occ, reads)
+    assert [(r.query, r.size, r.seq) for r in found.collect()] == [("a", 5, "AC")]
+    assert [r.query for r in lost.collect()] == ["b"]
+
+
+def test_seed_config():
+    c = seed_config(FilterConfig(min_quality=30, alpha=0.01))
+    assert (c.trim_width, c.trim_threshold, c.min_quality, c.alpha) == (10, 25, 0, -1)
+    assert seed_config(c, merged=True).trim_threshold == 0
