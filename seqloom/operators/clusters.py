@@ -11,6 +11,8 @@ from ..functions.sequence import without_size
 
 #: Columns of parsed maps: line number, query read, target cluster, identity in percent (null where not given), is_seed.
 DIALECTS = ("uc", "vsearch", "uparse8", "uparse9", "unoise", "cdhit", "paf")
+#: Counts of more samples aren't made a matrix.
+MATRIX_SAMPLES = 10_000
 
 
 def parsed(lines: DataFrame, dialect: str, line: str = "line", order: str = "line_no") -> DataFrame:
@@ -71,6 +73,14 @@ def added(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("otu", "sample_id").agg(F.sum("n").alias("n"))
 
 
+def sample_names(long: DataFrame) -> list[str]:
+    """The samples of counts() in order, as columns of matrix(); raises for more than MATRIX_SAMPLES."""
+    names = [r[0] for r in long.filter("sample_id IS NOT NULL").select("sample_id").distinct().limit(MATRIX_SAMPLES + 1).collect()]
+    if len(names) > MATRIX_SAMPLES:
+        raise ValueError(f"the counts have over {MATRIX_SAMPLES} samples; use their long form")
+    return sorted(names)
+
+
 def matrix(long: DataFrame, samples: list[str]) -> DataFrame:
     """otu and a rounded count for each sample of the list; the list is the map's, so its columns are bounded and known."""
     made = long.groupBy("otu").pivot("sample_id", samples).agg(F.first("n"))

@@ -165,6 +165,12 @@ def otu_matrix(spark, d: str) -> DataFrame:
     return clusters.matrix(_otu_counts(spark, d).filter("sample_id IN ('derep_RUN000', 'derep_RUN001', 'derep_RUN002')"), ["derep_RUN000", "derep_RUN001", "derep_RUN002"])
 
 
+def otu_matrix_all(spark, d: str) -> DataFrame:
+    """A column for each sample of the counts."""
+    c = _otu_counts(spark, d)
+    return clusters.matrix(c, clusters.sample_names(c))
+
+
 def otu_added_counts(spark, d: str) -> DataFrame:
     """Counts of a map and, as further reads, of its even lines once more."""
     t = clusters.targets(clusters.parsed(_assignments(spark, d), "uc"))
@@ -218,7 +224,7 @@ def demux_bp_budget(spark, d: str) -> DataFrame:
     return running_sum(r, ["seq_run"], ["read_ord"], "n", "used", inclusive=False).filter("used < 20000").select("read_ord", "seq_run", "used")
 
 
-QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_statistics, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
+QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_statistics, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_matrix_all, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
 
 _STEM = "seq_run || '|' || regexp_replace(regexp_extract(read_id, '^[^ \\t]*'), '([/.][12]|#[12]:0)$', '')"
 _JOINED = "p AS (SELECT {stem} AS pair_id, arg_min(read_ord, read_ord) FILTER (mate = 1) AS first, arg_min(read_ord, read_ord) FILTER (mate = 2) AS second FROM reads GROUP BY 1)".replace("{stem}", _STEM)
@@ -258,6 +264,7 @@ ORACLES = {
     "chimera_split": f"WITH {_UC} SELECT line_no, otu, CAST(n_targets AS INTEGER) AS n_targets FROM z",
     "otu_matrix_long": f"WITH {_UC} SELECT otu, sample_id, round(n, 4) AS n FROM c",
     "otu_matrix": f"WITH {_UC} SELECT otu, " + ", ".join(f"CAST(coalesce(round(max(n) FILTER (sample_id = 'derep_RUN00{k}')), 0) AS BIGINT) AS derep_RUN00{k}" for k in range(3)) + " FROM c WHERE sample_id IN ('derep_RUN000', 'derep_RUN001', 'derep_RUN002') GROUP BY 1",
+    "otu_matrix_all": f"WITH {_UC}, m AS (SELECT otu, sample_id, CAST(round(n) AS BIGINT) AS n FROM c UNION ALL SELECT otu, sample_id, CAST(0 AS BIGINT) FROM (SELECT DISTINCT otu FROM c), (SELECT DISTINCT sample_id FROM c)) FROM (PIVOT m ON sample_id USING CAST(sum(n) AS BIGINT) GROUP BY otu)",
     "otu_added_counts": f"WITH {_UC} SELECT otu, sample_id, round(sum(n / n_targets * CASE WHEN line_no % 2 = 0 THEN 2 ELSE 1 END), 4) AS n FROM z JOIN f USING (query) GROUP BY 1, 2",
     "otu_unknown": f"WITH {_UC} SELECT otu, count(*) AS n FROM z WHERE otu NOT IN (SELECT otu FROM z WHERE n_targets = 1) GROUP BY 1",
     "seed_percentiles": f"WITH {READS}, r AS (SELECT seq_run, n, row_number() OVER (PARTITION BY seq_run ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY seq_run) AS c FROM reads) SELECT seq_run, CAST(p AS INTEGER) AS point, CAST(n AS INTEGER) AS value FROM r JOIN (SELECT unnest([0, 10, 50, 90, 100]) AS p) ON i = floor((c - 1) * p / 100)",

@@ -11,6 +11,7 @@ from seqloom.operators.config import FilterConfig
 from seqloom.operators.keyed_chunks import positioned
 from seqloom.operators.pipeline import seed_config
 from seqloom.operators.representatives import DEREP, Tournament, representatives
+from seqloom.plans import group_queries
 
 
 def dna(r, n):
@@ -112,6 +113,19 @@ def test_chimeras_and_matrix(spark):
     assert {tuple(r) for r in clusters.matrix(long, ["s0", "s1", "s2"]).collect()} == {("o1", 6, 1, 0), ("o2", 2, 1, 0)}
 
 
+def test_matrix_of_all_samples(spark, tmp_path):
+    rows = [(k, f"derep_RUN{k % 5:03d}.fa", f"r{k}") for k in range(25)]
+    spark.createDataFrame(rows, "rec_ord bigint, file_name string, read_id string").write.parquet(str(tmp_path / "fasta_records.parquet"))
+    got = group_queries.otu_matrix_all(spark, str(tmp_path))
+    assert got.columns == ["otu", *(f"derep_RUN{k:03d}" for k in range(5))]
+    want = {}  # each record is one read; every seventh line is no hit
+    for k, f, _ in rows:
+        if k % 7:
+            want.setdefault(f"r{k % 5}", {})[f[:-3]] = want.get(f"r{k % 5}", {}).get(f[:-3], 0) + 1
+    assert {r.otu: {c: r[c] for c in got.columns[1:] if r[c]} for r in got.collect()} == want
+    assert clusters.sample_names(group_queries._otu_counts(spark, str(tmp_path))) == got.columns[1:]
+
+
 def test_concatemers(spark):
     r = random.Random(4)
     fwd, rev = "GTGCMGCCGCGG", "GGACTACNVGGG"
