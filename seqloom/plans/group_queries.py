@@ -39,10 +39,9 @@ def pair_orientation(spark, d: str) -> DataFrame:
     return o.select("pair_id", "swapped")
 
 
-def _overlapping(spark, d: str) -> DataFrame:
-    """Reads taken apart into two mates that overlap: the first 80 bases and the last 80 from the other strand."""
-    r = reads(spark, d).filter(F.length("seq").between(90, 148) & ~fs.has_run(F.col("seq"), 12) & ~F.col("seq").rlike("[^ACGT]"))
-    tail = F.length("seq") - 79
+def _apart(r: DataFrame) -> DataFrame:
+    """Reads taken apart into two mates: the first 80 bases and the last 80 from the other strand; shorter reads are both."""
+    tail = F.greatest(F.lit(1), F.length("seq") - 79)
     mate = lambda s, q: F.struct(s.alias("seq"), q.alias("quality"), "qual_offset")
     return r.select(
         "read_ord",
@@ -52,6 +51,11 @@ def _overlapping(spark, d: str) -> DataFrame:
     )
 
 
+def _overlapping(spark, d: str) -> DataFrame:
+    """Reads that merge without a mismatch when taken apart."""
+    return _apart(reads(spark, d).filter(F.length("seq").between(90, 148) & ~fs.has_run(F.col("seq"), 12) & ~F.col("seq").rlike("[^ACGT]")))
+
+
 def merge_pairs(spark, d: str) -> DataFrame:
     """The pairs of the table."""
     m = pairs.merge_pairs(_pairs(spark, d)).filter("merge IS NOT NULL")
@@ -68,6 +72,18 @@ def merge_statistics(spark, d: str) -> DataFrame:
     return pairs.merge_statistics(pairs.merge_pairs(_overlapping(spark, d)), ["sample_id"])
 
 
+def merge_consensus_all(spark, d: str) -> DataFrame:
+    """All reads taken apart; those that don't merge come out with nulls."""
+    m = pairs.merge_pairs(_apart(reads(spark, d)))
+    return m.select("read_ord", "merge.seq", "merge.overlap", "merge.mismatches", "merge.merge_length")
+
+
+def merge_statistics_pairs(spark, d: str) -> DataFrame:
+    """All pairs of the table by the sample of their first mate, or of the second if that has none."""
+    p = _pairs(spark, d).withColumn("sample_id", F.coalesce("r1.sample_id", "r2.sample_id"))
+    return pairs.merge_statistics(pairs.merge_pairs(p), ["sample_id"])
+
+
 def _wanted(spark, d: str) -> DataFrame:
     """A list of reads: those that open their sample."""
     return reads(spark, d).filter("sample_id IS NOT NULL").groupBy("sample_id").agg(F.min_by("read_id", "read_ord").alias("read_id")).select("read_id", F.concat("sample_id", F.lit(".fq")).alias("out_file"))
@@ -224,7 +240,7 @@ def demux_bp_budget(spark, d: str) -> DataFrame:
     return running_sum(r, ["seq_run"], ["read_ord"], "n", "used", inclusive=False).filter("used < 20000").select("read_ord", "seq_run", "used")
 
 
-QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_statistics, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_matrix_all, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
+QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_statistics, merge_consensus_all, merge_statistics_pairs, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_matrix_all, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
 
 _STEM = "seq_run || '|' || regexp_replace(regexp_extract(read_id, '^[^ \\t]*'), '([/.][12]|#[12]:0)$', '')"
 _JOINED = "p AS (SELECT {stem} AS pair_id, arg_min(read_ord, read_ord) FILTER (mate = 1) AS first, arg_min(read_ord, read_ord) FILTER (mate = 2) AS second FROM reads GROUP BY 1)".replace("{stem}", _STEM)

@@ -54,6 +54,63 @@ def test_merge_takes_the_better_base(spark):
     assert got.quality[0] == "I" and got.quality[45] == chr(33 + 40)
 
 
+def brute_overlap(x, y):
+    """(size, mismatches) of the longest good overlap of a read with its turned mate, by all shifts; None without one."""
+    best = None
+    for d in range(-len(y), len(x)):
+        over = [(x[i], y[i - d]) for i in range(max(0, d), min(len(x), d + len(y)))]
+        wrong = sum(a != b for a, b in over)
+        if len(over) >= 12 and wrong <= len(over) // 10 and wrong / len(over) < 0.1 and (best is None or len(over) > best[0]):
+            best = len(over), wrong
+    return best if min(len(x), len(y)) >= 20 else None
+
+
+def write_reads(spark, path, rows):
+    kinds = "read_ord bigint, file_name string, seq_run string, sample_id string, mate int, header string, read_id string, sequence string, quality string, qual_offset int"
+    spark.createDataFrame(rows, kinds).write.parquet(str(path / "fastx_records.parquet"))
+
+
+def test_statistics_of_all_pairs(spark, tmp_path):
+    r, rows, want = random.Random(5), [], {}
+    for k in range(60):
+        sample = [None, "s0", "s1"][k % 3]
+        whole = dna(r, r.choice([15, 40, 80, 110, 145, 155, 200]))
+        first, second = whole[:80], list(whole[-80:])
+        for at in r.sample(range(len(second)), min(len(second), r.choice([0, 0, 1, 4, 12]))):
+            second[at] = r.choice("ACGT")
+        second = "".join(second)
+        for mate, text in ((1, first), (2, revcomp_text(second))):
+            rows.append((len(rows), "f", "run", sample if mate == 1 or k % 2 else None, mate, f"@p{k}/{mate}", f"p{k}/{mate}", text, "I" * len(text), 33))
+        want.setdefault(sample, []).append(brute_overlap(first, second))
+    rows.append((len(rows), "f", "run", "s0", 1, "@alone/1", "alone/1", dna(r, 50), "I" * 50, 33))  # no pair
+    write_reads(spark, tmp_path, rows)
+    got = {x.sample_id: x for x in group_queries.merge_statistics_pairs(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, "s0", "s1"}
+    for sample, found in want.items():
+        good = [f for f in found if f]
+        assert 0 < len(good) < len(found) and any(f[1] for f in good)
+        assert (got[sample].n_pairs, got[sample].n_merged) == (len(found), len(good))
+        assert got[sample].mean_overlap == pytest.approx(sum(f[0] for f in good) / len(good))
+        assert got[sample].mean_mismatches == pytest.approx(sum(f[1] for f in good) / len(good))
+
+
+def test_consensus_of_all_reads(spark, tmp_path):
+    r = random.Random(6)
+    texts = [dna(r, n) for n in (10, 19, 20, 79, 80, 81, 100, 148, 149, 160, 161, 300)] + ["A" * 100, dna(r, 50) + "N" + dna(r, 50), dna(r, 40) + "A" * 60, "N" + dna(r, 60)]
+    write_reads(spark, tmp_path, [(k, "f", "run", "s", 1, f"@r{k}", f"r{k}", t, "I" * len(t), 33) for k, t in enumerate(texts)])
+    got = {x.read_ord: x for x in group_queries.merge_consensus_all(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        found = brute_overlap(text[:80], text[-80:])
+        whole = text.strip("N") if found and (found[0] == 160 - len(text) or found[0] == len(text)) else None
+        if found is None or "N" in text.strip("N"):
+            assert got[k].seq is None and got[k].overlap is None and got[k].merge_length is None
+        else:
+            assert (got[k].overlap, got[k].mismatches) == found
+            assert whole is None or (got[k].seq, got[k].merge_length) == (whole, len(whole))
+    assert [k for k in got if got[k].seq is None] and got[12].overlap == 80  # a run takes a longer overlap than its own
+
+
 def test_routes(spark):
     kind = "struct<tier: string>"
     rows = [("a", ("green",), ("green",)), ("b", ("green",), ("yellow",)), ("c", ("yellow",), ("failed",)), ("d", None, ("green",)), ("e", ("failed",), None)]
