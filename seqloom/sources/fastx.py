@@ -73,10 +73,12 @@ def _lines(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
         yield at + m.start(), m[1]
 
 
-def fastq_records(lines: list[tuple[int, bytes]], tolerant: bool, first: bool) -> Iterator[tuple[int, str, str, str]]:
-    """offset, header, sequence, quality; a broken record raises, or is skipped up to the next record if tolerant."""
+def fastq_records(lines: list[tuple[int, bytes]], tolerant: bool, first: bool, stop: int = 1 << 62) -> Iterator[tuple[int, str, str, str]]:
+    """offset, header, sequence, quality of records that begin before stop; a broken one raises, or is skipped up to the
+    next record if tolerant. Unless first, what is before the first record belongs to the range before, which raises if
+    a broken record begins where its last one ends."""
     k = 0 if first else _next_record(lines, 0)
-    while k < len(lines):
+    while k < len(lines) and lines[k][0] < stop:
         if not lines[k][1].strip():
             k += 1
             continue
@@ -87,6 +89,10 @@ def fastq_records(lines: list[tuple[int, bytes]], tolerant: bool, first: bool) -
             k = _next_record(lines, k + 1)
         else:
             raise ValueError(f"broken FASTQ record at byte {lines[k][0]}")
+    while k < len(lines) and not lines[k][1].strip():
+        k += 1
+    if k < len(lines) and not tolerant and not _is_record(lines, k):
+        raise ValueError(f"broken FASTQ record at byte {lines[k][0]}")
 
 
 def _is_record(lines: list[tuple[int, bytes]], k: int) -> bool:
@@ -156,7 +162,7 @@ class FastxReader(DataSourceReader):
         if part.start:  # the line that the cut went through belongs to the range before
             lines = lines[1:]
         stop = part.stop if part.stop is not None else 1 << 62
-        records = fastq_records(lines, self.tolerant or part.stop is not None, part.start == 0) if form == "fastq" else fasta_records([x for k, x in enumerate(lines) if k >= next((i for i, y in enumerate(lines) if y[1][:1] == b">"), len(lines))])
+        records = fastq_records(lines, self.tolerant, part.start == 0, stop) if form == "fastq" else fasta_records([x for k, x in enumerate(lines) if k >= next((i for i, y in enumerate(lines) if y[1][:1] == b">"), len(lines))])
         known = None if self.offset == "auto" else {"1": 33, "2": 64}.get(self.offset, int(self.offset))
         if known is None:
             known = self._first_offset(start_of_file, form)
@@ -174,7 +180,7 @@ class FastxReader(DataSourceReader):
             yield self._batch(rows)
 
     def _range(self, source, part: Range, form: str) -> bytes:
-        """The bytes of a range, one before it and as many after it as end its last record."""
+        """The bytes of a range, one before it and as many after it as end its last record and the next one."""
         size, start = source.size(), max(0, part.start - 1)
         stop = size if part.stop is None else part.stop
         data, step = source.read_at(stop - start, start), 1 << 16
@@ -182,7 +188,7 @@ class FastxReader(DataSourceReader):
             more = source.read_at(min(step, size - stop), stop)
             data, stop, step = data + more, stop + len(more), step * 2
             tail = data[part.stop - start :]
-            if (tail.count(b"\n") + tail.count(b"\r") > 12 and form == "fastq") or b"\n>" in tail or b"\r>" in tail:
+            if (form == "fastq" and len(re.findall(rb"\S[^\r\n]*[\r\n]", tail)) > 10) or b"\n>" in tail or b"\r>" in tail:
                 break
         return data
 

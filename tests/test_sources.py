@@ -57,6 +57,28 @@ def test_broken_record(spark, tmp_path):
         fastx.read_fastx(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_broken_record_in_ranges(tmp_path, end):
+    path = tmp_path / "a.fq"
+
+    def ids(size, mode):
+        reader = fastx.FastxReader({"path": str(path), "rangebytes": str(size), "mode": mode, "fileformat": "fastq"})
+        return [x for part in reader.partitions() for batch in reader.read(part) for x in batch.column("read_id").to_pylist()]
+
+    sound = [f"@r{k}{end}{s}{end}+{end}{q}{end}" for k, (_, s, q) in enumerate(records(12))]
+    for size in (7, 40, 90, 250, 10_000):
+        path.write_text("".join(sound), newline="")
+        assert ids(size, "FAILFAST") == [f"r{k}" for k in range(12)]
+        path.write_text((end * 30).join(sound), newline="")
+        assert ids(size, "FAILFAST") == [f"r{k}" for k in range(12)]
+        for k in range(12):
+            for broken in (f"@r{k}{end}ACG{end}+{end}II{end}", f"r{k}{end}ACG{end}+{end}III{end}", f"@r{k}{end}ACG{end}"):
+                path.write_text("".join([*sound[:k], broken, *sound[k + 1 :]]), newline="")
+                with pytest.raises(ValueError, match="broken"):
+                    ids(size, "FAILFAST")
+                assert ids(size, "DROPMALFORMED") == [f"r{i}" for i in range(12) if i != k]
+
+
 def test_offsets():
     assert fastx.detect_offset("@x 1:N:0", "hhhh") == 33
     assert fastx.detect_offset("@x", "##II") == 33
