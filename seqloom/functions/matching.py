@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -119,15 +120,23 @@ class BarcodeIndex:
         self.samples = np.array([i for _, i in kept], np.int64)
         self.letters = self.codes.view(np.uint8).reshape(len(kept), width) if kept else np.zeros((0, width), np.uint8)
 
+    def window(self, t: Texts, k: int, rows: np.ndarray) -> np.ndarray:
+        return np.stack([t.at_offset(np.full(len(t.n), k), j)[rows] for j in range(self.width)], 1) if len(rows) else np.zeros((0, self.width), np.uint8)
+
+
+def by_length(barcodes: list[tuple[str, int]]) -> list[BarcodeIndex]:
+    """An index for each length, longest first."""
+    return [BarcodeIndex([x for x in barcodes if len(x[0]) == n]) for n in sorted({len(b) for b, _ in barcodes} - {0}, reverse=True)]
+
 
 def find_barcode(seq: Column, barcodes: list[tuple[str, int]], scan: int = SCAN, errors: int = 0) -> Column:
     """struct(sample_idx, start, mismatches, candidates) of the barcode in a read.
 
-    The exact barcode of least start wins. Without one, if errors are allowed, all barcodes with at most that many
+    The exact barcode of least start wins, a longer one before a shorter one. Without one, if errors are allowed, all barcodes with at most that many
     mismatches at any start are candidates: one sample is taken (least start), several leave sample_idx null.
     `barcodes` are the samples of a map, sent along with the function; larger maps go through barcode_join.
     """
-    index = BarcodeIndex(barcodes)
+    indexes = by_length(barcodes)
 
     @F.arrow_udf("sample_idx int, start int, mismatches int, candidates int")
     def kernel(s: pa.Array) -> pa.Array:
@@ -135,21 +144,21 @@ def find_barcode(seq: Column, barcodes: list[tuple[str, int]], scan: int = SCAN,
         n = len(t.n)
         sample, start = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         wrong, candidates = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        window = lambda k, rows: np.stack([t.at_offset(np.full(n, k), j)[rows] for j in range(index.width)], 1) if len(rows) else np.zeros((0, index.width), np.uint8)
-        for k in range(scan):
-            rows = np.flatnonzero((sample < 0) & (t.n >= k + index.width))
-            if len(index.codes) and len(rows):
-                code = np.ascontiguousarray(window(k, rows)).view(f"S{index.width}").ravel()
-                at = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
-                hit = index.codes[at] == code
-                sample[rows[hit]], start[rows[hit]] = index.samples[at[hit]], k
+        for index in indexes:
+            for k in range(scan):
+                rows = np.flatnonzero((sample < 0) & (t.n >= k + index.width))
+                if len(rows):
+                    code = np.ascontiguousarray(index.window(t, k, rows)).view(f"S{index.width}").ravel()
+                    at = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
+                    hit = index.codes[at] == code
+                    sample[rows[hit]], start[rows[hit]] = index.samples[at[hit]], k
         candidates[sample >= 0] = 1
-        if errors and len(index.codes):
+        if errors and indexes:
             open_ = np.flatnonzero(sample < 0)
             best: dict[int, dict[int, tuple[int, int]]] = {}
-            for k in range(scan):
+            for k, index in product(range(scan), indexes):
                 rows = open_[t.n[open_] >= k + index.width]
-                codes, back = np.unique(window(k, rows), axis=0, return_inverse=True)
+                codes, back = np.unique(index.window(t, k, rows), axis=0, return_inverse=True)
                 if not len(codes):
                     continue
                 far = (codes[:, None, :] != index.letters[None]).sum(2)

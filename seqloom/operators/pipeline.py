@@ -82,8 +82,10 @@ def demultiplexed(reads: DataFrame, samples: DataFrame, config: FilterConfig, qu
     first or second tier by their primers, as seed reads are.
     """
     found = sample_ops.by_barcode(reads.drop("sample_id", "sample_idx"), samples, "seq", matching.SCAN, config.barcode_errors)
-    cut = found if config.keep_barcode else _cut(found, F.when(F.col("sample_idx").isNotNull(), F.col("start") + F.lit(_width(samples))).otherwise(F.lit(0)))
-    named = cut.join(samples.select("sample_idx", "sample_id", "forward_primer", "reverse_primer"), "sample_idx", "left")
+    named = found.join(samples.select("sample_idx", "sample_id", "forward_primer", "reverse_primer", F.length("barcode_sequence").alias("_w")), "sample_idx", "left")
+    if not config.keep_barcode:
+        named = _cut(named, F.when(F.col("sample_idx").isNotNull(), F.col("start") + F.col("_w")).otherwise(F.lit(0)))
+    named = named.drop("_w")
     primed = primers_cut(without_adapter(named, config.adapter), config)
     if config.trim_start:
         primed = _cut(primed, F.lit(config.trim_start))
@@ -98,7 +100,3 @@ def demultiplexed(reads: DataFrame, samples: DataFrame, config: FilterConfig, qu
 def seed_config(config: FilterConfig, merged: bool = False) -> FilterConfig:
     """Thresholds for reads that may become seeds: a short, strict end trim, or none for merged reads; no other filter."""
     return replace(config, trim_width=10, trim_threshold=0 if merged else 25, min_length=1, min_length_2=None, min_quality=0, min_quality_2=None, window_threshold=0, max_accumulated_error=None, alpha=-1)
-
-
-def _width(samples: DataFrame) -> int:
-    return samples.agg(F.max(F.length("barcode_sequence"))).first()[0] or 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matching, sequence
@@ -28,13 +28,14 @@ def by_barcode(reads: DataFrame, samples: DataFrame, seq: str, scan: int = match
 
 
 def barcode_join(reads: DataFrame, samples: DataFrame, seq: str, key: str, scan: int = matching.SCAN) -> DataFrame:
-    """The exact lookup for maps of any size: one row a start, an equi-join, the least start of each read."""
-    width = F.length("barcode_sequence")
-    wide = samples.filter(F.col("barcode_sequence") != "").select("barcode_sequence", F.col("sample_idx").alias("_s"), width.alias("_w"))
-    longest = wide.agg(F.max("_w")).first()[0] or 1
+    """The exact lookup for maps of any size: one row a start and length, an equi-join, the longest barcode and least start of each read."""
+    wide = samples.filter(F.col("barcode_sequence") != "").select("barcode_sequence", F.col("sample_idx").alias("_s"), F.length("barcode_sequence").alias("_w"))
+    widths = sorted(r[0] for r in wide.select("_w").distinct().collect()) or [1]
     starts = reads.select(key, seq, F.explode(F.sequence(F.lit(0), F.lit(scan - 1))).alias("start"))
-    probes = starts.filter(F.length(seq) >= F.col("start") + longest).withColumn("barcode_sequence", F.substr(seq, F.col("start") + 1, F.lit(longest)))
-    first = probes.join(wide.filter(F.col("_w") == longest), "barcode_sequence").groupBy(key).agg(F.min_by("_s", "start").alias("sample_idx"), F.min("start").alias("start"))
+    probes = starts.withColumn("_w", F.explode(F.array(*map(F.lit, widths)))).filter(F.length(seq) >= F.col("start") + F.col("_w"))
+    probes = probes.select(key, "start", F.substr(seq, F.col("start") + 1, F.col("_w")).alias("barcode_sequence"))
+    order = F.struct(-F.col("_w"), "start", "_s")
+    first = probes.join(wide, "barcode_sequence").groupBy(key).agg(F.min_by("_s", order).alias("sample_idx"), F.min_by("start", order).alias("start"))
     return reads.join(first, key, "left")
 
 
@@ -90,5 +91,8 @@ def map_problems(samples: DataFrame) -> DataFrame:
 
     code = F.concat_ws("+", F.nullif("barcode_sequence", F.lit("")), F.nullif("barcode2nd_pair", F.lit("")))
     runs = files_of(samples).groupBy(F.col("file_name").alias("value")).agg(F.countDistinct("sequencing_run").alias("n")).filter("n > 1").select(F.lit("file in several runs").alias("problem"), "value", "n")
-    parts = [repeated("sample id", F.col("sample_id")), repeated("barcode", code), repeated("header token", F.col("sample_id_in_head")), runs]
+    length = samples.filter("barcode_sequence <> ''").groupBy(F.length("barcode_sequence").alias("_w")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), F.desc("_w")))
+    other = length.withColumn("_k", rank).filter("_k > 1").select(F.lit("barcode length").alias("problem"), F.col("_w").cast("string").alias("value"), "n")
+    parts = [repeated("sample id", F.col("sample_id")), repeated("barcode", code), repeated("header token", F.col("sample_id_in_head")), runs, other]
     return reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import matching, sequence
 from seqloom.functions.quality import Scores, error_of
+from seqloom.operators import samples as sample_ops
+from seqloom.operators.config import FilterConfig
+from seqloom.operators.pipeline import demultiplexed
 from seqloom.operators.prefix import running_sum
 
 
@@ -98,3 +101,24 @@ def test_running_sum(spark):
         sums[g] = sums.get(g, 0) + (v or 0)
         assert got[g, o] == sums[g]
     assert running_sum(df.limit(0), ["g"], ["o"], "v", "s").count() == 0
+
+
+def test_barcodes_of_two_lengths(spark):
+    kinds = "sample_idx int, sample_id string, barcode_sequence string, forward_primer string, reverse_primer string, sample_id_in_head string, fastq_file string, sequencing_run string, barcode2nd_pair string"
+    codes = ["AAAACCCC", "GGGGTTTT", "AAAAC", "CTCTC"]
+    samples = spark.createDataFrame([(i, f"S{i}", b, None, None, None, None, None, None) for i, b in enumerate(codes)], kinds)
+    body = "TGATGATGATGATGATGATG"
+    texts = ["AAAACCCC" + body, "AAAAC" + body, "TCTCTC" + body, "TGTGTG" + body, "GGGATTTT" + body, "CTCTG" + body, "CTC", "", None]
+    reads = spark.createDataFrame([(k, s, s and "I" * len(s), 33, 1) for k, s in enumerate(texts)], "k int, s string, quality string, qual_offset int, mate int")
+    exact = {0: (0, 0), 1: (2, 0), 2: (3, 1)}
+    none = dict.fromkeys(range(len(texts)), (None, None))
+    got = {r.k: (r.sample_idx, r.start) for r in sample_ops.by_barcode(reads, samples, "s", 3).collect()}
+    assert got == none | exact
+    joined = {r.k: (r.sample_idx, r.start) for r in sample_ops.barcode_join(reads, samples, "s", "k", 3).collect()}
+    assert joined == got
+    fuzzy = {r.k: (r.sample_idx, r.mismatches) for r in sample_ops.by_barcode(reads, samples, "s", 1, 1).collect()}
+    assert fuzzy == none | {0: (0, 0), 1: (2, 0), 4: (1, 1), 5: (3, 1)}
+    graded = demultiplexed(reads.withColumnRenamed("s", "seq"), samples, FilterConfig(min_length=5, trim_threshold=0)).collect()
+    assert {r.k: (r.sample_id, r.seq, len(r.quality)) for r in graded if r.sample_id} == {k: (f"S{i}", body, len(body)) for k, i in ((0, 0), (1, 2), (2, 3))}
+    assert [(r.problem, r.value, r.n) for r in sample_ops.map_problems(samples).collect()] == [("barcode length", "5", 2)]
+    assert sample_ops.strand_votes(reads, samples, "s").first().forward == 3
