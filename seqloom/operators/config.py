@@ -38,6 +38,8 @@ KEYS = {
     "CheckForReversedSeqs": "check_reversed",
     "SyncReadPairs": "sync_pairs",
 }
+#: Options whose effect isn't implemented, with the value at which they have none: any other is an error.
+MISSING = {"PEheaderPairFmt": 0, "ExtensivePrimerChecks": False, "AmpliconShortPE": False, "CheckForMixedPairs": False, "CheckForReversedSeqs": False}
 SECOND = {"min_length", "min_quality", "max_ambiguous", "window_threshold", "trim_threshold", "primer_errors", "keep_primer", "max_accumulated_error", "need_reverse_primer", "need_forward_primer"}
 
 
@@ -72,7 +74,7 @@ class FilterConfig:
     max_run: int = 12
     trim_run: int = 12
     adapter: str = ""
-    pair_format: int = 1
+    pair_format: int = 0
     trim_start: int = 0
     phred: str = "auto"
     extensive_primers: bool = False
@@ -88,8 +90,16 @@ class FilterConfig:
     second_output: bool = True
 
 
+def require_implemented(config: FilterConfig) -> FilterConfig:
+    """config; ValueError if it asks for what isn't implemented."""
+    asked = [k for k, none in MISSING.items() if getattr(config, KEYS[k]) != none]
+    if asked:
+        raise ValueError(f"options that are not implemented: {', '.join(asked)}")
+    return config
+
+
 def parse_options(lines: Iterable[str], base: FilterConfig | None = None) -> FilterConfig:
-    """key<TAB>value lines; # begins a comment, *key sets the second tier. Unknown keys raise ValueError."""
+    """key<TAB>value lines; # begins a comment, *key sets the second tier. Unknown keys and options that aren't implemented raise ValueError."""
     config, kinds, values = base or FilterConfig(), {f.name: str(f.type) for f in fields(FilterConfig)}, {}
     for number, line in enumerate(lines, 1):
         text = line.lstrip("﻿").split("#", 1)[0].strip()
@@ -104,7 +114,7 @@ def parse_options(lines: Iterable[str], base: FilterConfig | None = None) -> Fil
                 raise ValueError(f"line {number}: {key} has no second tier")
             name += "_2"
         values[name] = _typed(kinds[name], value)
-    return replace(config, **values)
+    return require_implemented(replace(config, **values))
 
 
 def _typed(kind: str, value: str):

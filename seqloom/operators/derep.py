@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import text_bytes
+from .config import FilterConfig
+
+#: Bases of a key where no options say it.
+KEY_LENGTH = 150
 
 
 def keyed(reads: DataFrame, length: int = -1, seq: str = "seq") -> DataFrame:
@@ -21,6 +25,13 @@ def keyed(reads: DataFrame, length: int = -1, seq: str = "seq") -> DataFrame:
     return reads.withColumn("key", F.col(seq) if length < 0 else F.substr(seq, F.lit(1), F.lit(length)))
 
 
+def key_length(config: FilterConfig) -> int:
+    """Length of the key: derepSrchLen (-1: the whole read), without it the least length of a read, or KEY_LENGTH."""
+    if config.derep_length is not None:
+        return config.derep_length
+    return config.min_length if config.min_length > 0 else KEY_LENGTH
+
+
 def opened(reads: DataFrame, keys: list[str], order: str = "read_ord") -> DataFrame:
     """Reads with a sample that count: those from the key's first green read on. Keys without a green read have none."""
     have = reads.filter("sample_id IS NOT NULL")

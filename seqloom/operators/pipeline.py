@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions import sequence as fs
 from . import samples as sample_ops
-from .config import FilterConfig
+from .config import FilterConfig, require_implemented
 from .tiers import graded
 
 #: How far into a read a primer may begin, and an adapter.
 PRIMER_SCAN, ADAPTER_SCAN = 20, 40
+#: Quality offsets by fastqVersion; any other is 59.
+PHRED = {"1": 33, "2": 64}
 
 
 def _cut(df: DataFrame, start: Column, stop: Column | None = None) -> DataFrame:
@@ -81,6 +83,9 @@ def demultiplexed(reads: DataFrame, samples: DataFrame, config: FilterConfig, qu
     tier, length and reasons. Without barcode: tier `unassigned`. quality_filter=False only assigns and cuts: reads are
     first or second tier by their primers, as seed reads are.
     """
+    require_implemented(config)
+    if config.phred != "auto":
+        reads = reads.withColumn("qual_offset", F.lit(PHRED.get(config.phred, 59)))
     found = sample_ops.by_barcode(reads.drop("sample_id", "sample_idx"), samples, "seq", matching.SCAN, config.barcode_errors)
     named = found.join(samples.select("sample_idx", "sample_id", "forward_primer", "reverse_primer", F.length("barcode_sequence").alias("_w")), "sample_idx", "left")
     if not config.keep_barcode:

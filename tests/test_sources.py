@@ -7,6 +7,8 @@ import pytest
 
 from seqloom.operators.clusters import derep_map, derep_map_problems, parsed
 from seqloom.operators.config import FilterConfig, parse_options
+from seqloom.operators.derep import key_length
+from seqloom.operators.pipeline import demultiplexed
 from seqloom.sources import fastx, maps
 
 
@@ -113,6 +115,23 @@ def test_options():
         parse_options(["nonsense 1"])
 
 
+@pytest.mark.parametrize("line", ["PEheaderPairFmt 1", "ExtensivePrimerChecks T", "AmpliconShortPE T", "CheckForMixedPairs T", "CheckForReversedSeqs T"])
+def test_options_not_implemented(spark, line):
+    with pytest.raises(ValueError, match=line.split()[0]):
+        parse_options([line])
+    assert parse_options([line.split()[0] + " 0"]) == FilterConfig()
+    with pytest.raises(ValueError, match="not implemented"):
+        demultiplexed(None, None, FilterConfig(check_reversed=True))
+
+
+def test_options_of_keys_and_offsets(spark):
+    assert [key_length(parse_options(x)) for x in (["derepSrchLen 30"], ["derepSrchLen -1"], ["minSeqLength 200"], ["minSeqLength 0"])] == [30, -1, 200, 150]
+    samples = spark.createDataFrame([(0, "S0", "AACC", None, None)], "sample_idx int, sample_id string, barcode_sequence string, forward_primer string, reverse_primer string")
+    reads = spark.createDataFrame([("AACCGTGTGTGT", "h" * 12, 33, 1)], "seq string, quality string, qual_offset int, mate int")
+    offsets = [demultiplexed(reads, samples, parse_options(x), quality_filter=False).first().qual_offset for x in ([], ["fastqVersion 1"], ["fastqVersion 2"], ["fastqVersion 3"])]
+    assert offsets == [33, 33, 64, 59]
+
+
 LINES = {
     "uc": ["H\t0\t250\t98.4\t+\t0\t0\t=\tr1\to1", "S\t0\t250\t*\t.\t*\t*\t*\to1\t*"],
     "vsearch": ["S\t0\t250\t*\t.\t*\t*\t*\to1\t*", "H\t0\t250\t98.4\t+\t0\t0\t=\tr1\to1"],
