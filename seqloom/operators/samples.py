@@ -48,8 +48,10 @@ def by_two_barcodes(first: DataFrame, second: DataFrame, samples: DataFrame, pai
 
 
 def by_header(reads: DataFrame, samples: DataFrame, header: str = "header") -> DataFrame:
-    """The first map row whose token the header holds: sample_idx, null without one."""
-    tokens = samples.filter(F.col("sample_id_in_head") != "").select("sample_idx", "sample_id_in_head").orderBy("sample_idx").limit(MAP_ROWS).collect()
+    """The first map row whose token the header holds: sample_idx, null without one; raises for maps over MAP_ROWS."""
+    tokens = samples.filter(F.col("sample_id_in_head") != "").select("sample_idx", "sample_id_in_head").orderBy("sample_idx").limit(MAP_ROWS + 1).collect()
+    if len(tokens) > MAP_ROWS:
+        raise ValueError(f"the sample map has over {MAP_ROWS} header tokens")
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in tokens]) if tokens else F.expr("array(named_struct('i', cast(null as int), 't', cast(null as string)))")
     first = F.get(F.filter(listed, lambda x: F.contains(F.col(header), x["t"])), F.lit(0))
     return reads.withColumn("sample_idx", first["i"]).withColumn("token", first["t"])

@@ -122,3 +122,12 @@ def test_barcodes_of_two_lengths(spark):
     assert {r.k: (r.sample_id, r.seq, len(r.quality)) for r in graded if r.sample_id} == {k: (f"S{i}", body, len(body)) for k, i in ((0, 0), (1, 2), (2, 3))}
     assert [(r.problem, r.value, r.n) for r in sample_ops.map_problems(samples).collect()] == [("barcode length", "5", 2)]
     assert sample_ops.strand_votes(reads, samples, "s").first().forward == 3
+
+
+def test_too_many_header_tokens(spark, monkeypatch):
+    monkeypatch.setattr(sample_ops, "MAP_ROWS", 2)
+    reads = spark.createDataFrame([("@c_1",)], "header string")
+    samples = spark.createDataFrame([(0, "a_"), (1, "b_"), (2, "c_")], "sample_idx int, sample_id_in_head string")
+    assert sample_ops.by_header(reads, samples.filter("sample_idx > 0")).first().sample_idx == 2
+    with pytest.raises(ValueError, match="over 2"):
+        sample_ops.by_header(reads, samples)
