@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import near_duplicates as nd
@@ -76,18 +77,67 @@ def test_empty(spark):
 
 
 def test_bound_is_never_too_low():
-    """No pair over the threshold is pruned at any level."""
+    """No pair over the threshold is pruned at any level, and most pairs of nodes are."""
     r = random.Random(4)
     texts = []
-    for _ in range(12):
-        base = "".join(r.choice("ACGT") for _ in range(120))
-        texts += [edited(r, base) for _ in range(12)]
-    sets = [nd.tokens_of(t) for t in texts]
-    sizes, bits, _ = nd.Signer(1, 1).sign(sets)
-    order = np.argsort(sizes, kind="stable")
-    forest = nd.Forest(np.zeros(len(texts), np.int64), sizes[order], bits[order].copy().view(np.uint64))
-    got = set()
-    for i, j in forest.pairs(np.array([0]), np.array([0]), 0.6):
-        got |= {(min(order[a], order[b]), max(order[a], order[b])) for a, b in zip(i, j, strict=True)}
+    for _ in range(40):
+        base = "".join(r.choice("ACGT") for _ in range(r.randint(100, 260)))
+        texts += [edited(r, base) for _ in range(r.randint(1, 12))]
+    texts.sort(key=lambda x: len(set(runs(x))))
+    t = nd.Tokens(*nd.packed(texts), 8)
+    size, bit, none = t.sizes(), nd.bit_of(t.mixed()), np.zeros(len(texts), np.int64)
+    assert size.tolist() == [len(runs(x)) for x in texts]
+    forest = nd.Forest(none, size, size - t.sizes(bit), bit, t.at, none)
+    got = {(min(a, b), max(a, b)) for i, j in forest.pairs(np.array([0]), np.array([0]), 0.6) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert got >= pairs_by_hand(list(enumerate(texts)), 0.6)
-    assert len(got) < len(texts) * (len(texts) - 1) // 4
+    assert forest.kept[1] * 2 < forest.seen[1] and len(got) * 10 < len(texts) * (len(texts) - 1) // 2
+
+
+def test_records_that_meet_elsewhere():
+    """Pairs of one earlier root are left out, others aren't."""
+    texts = ["ACGTTGCAACGGTTAC" * 3] * 12
+    t = nd.Tokens(*nd.packed(texts), 8)
+    none, met = np.zeros(12, np.int64), np.array([0] * 3 + [4] * 6 + [5] * 3)
+    forest = nd.Forest(none, t.sizes(), none, nd.bit_of(t.mixed()), t.at, met)
+    got = {(min(a, b), max(a, b)) for i, j in forest.pairs(np.array([0]), np.array([0]), 0.6) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(a, b) for a in range(12) for b in range(a + 1, 12) if not met[a] or met[a] != met[b]}
+
+
+def test_packing():
+    r = random.Random(5)
+    texts = ["".join(r.choice("ACGTRYMKWSBDHVN") for _ in range(n)) for n in (8, 9, 30, 0, 11)] + ["ACGT" * 9]
+    for part in (texts, [*texts, "é" * 12, "acgtacgtac"]):
+        letters, body, other = nd.packed(part)
+        assert [nd.unpacked(int(n), body[0][body[1][i] : body[1][i + 1]], other[0][other[1][i] : other[1][i + 1]]) for i, n in enumerate(letters)] == part
+        t = nd.Tokens(letters, body, other, 8)
+        assert t.sizes().tolist() == [len(runs(x)) for x in part]
+    # a run has one number in whatever text it stands
+    assert set(nd.tokens_of("ACGTACGTNé").tolist()) >= set(nd.tokens_of("ACGTACGTN").tolist())
+
+
+def test_common_stretch():
+    """Texts with as many letters in common as reach() says have a root in common, wherever they stand."""
+    r = random.Random(6)
+    letters, _ = nd.reach(0.6)
+    for _ in range(200):
+        common = "".join(r.choice("ACGT") for _ in range(letters))
+        two = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 90))) + common + "".join(r.choice("ACGT") for _ in range(r.randint(0, 90))) for _ in range(2)]
+        row, key = nd.stretches(two, 15, letters)
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_shared():
+    """Small roots give pairs, large ones members, in batches of any size."""
+    rows = [(1, 5), (2, 3), (2, 3), (2, 9), *[(3, k) for k in range(30)], (4, 1), (5, 7), (5, 8), *[(6, k) for k in range(9)], *[(7, k) for k in range(8)]]
+    for size in (1, 2, 7, 9, 100):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        out = [x for b in nd._shared(iter([pa.RecordBatch.from_arrays([pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64())], ["key", "rep"]) for p in parts])) for x in b.to_pylist()]
+        assert sorted((x["key"], x["a"]) for x in out if x["b"] is None) == sorted((k, v) for k, v in rows if k in (3, 6))
+        assert sorted((x["a"], x["b"]) for x in out if x["b"] is not None) == sorted([(3, 9), (7, 8), *[(a, b) for b in range(8) for a in range(b)]])
+
+
+def test_many_copies(spark):
+    """Members of a class in several blocks: all pairs, once."""
+    rows = [(k, "ACGTTGCAACGGTTACCATG") for k in range(2300)] + [(5000, "ACGTTGCAACGGTTACCATGA")]
+    got = nd.similar_rows(spark.createDataFrame(rows, "id bigint, s string"), "id", "s", 0.8)
+    assert got.count() == got.distinct().count() == 2301 * 2300 // 2
