@@ -12,7 +12,9 @@ Two stages, each of which emits what no later input can change and keeps the res
   length of the longest merge result less one; tokens on which all positions in that window
   agree are final and leave the machine. Memory is the window and not the text.
 
-Words repeat, so short ones are looked up in a bounded table of what the machine gave before.
+Every text goes through the first stage in pieces of CHUNK characters. The second stage holds back the lookahead; a
+word that ends within it is merged at once, rank by rank, with the same result. Words repeat, so short ones are
+looked up in a bounded table of what came out before.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 1 << 16
 LONG = 1 << 12
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 CACHE_BYTES = 64
 NEVER = 1 << 60
 
@@ -73,9 +76,19 @@ class Vocabulary:
         self.texts = {i: t for t, i in self.ids.items()}
         self.packed = {t: i.to_bytes(4, sys.byteorder) for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self.tails = {t[k:] for t in self.ids for k in range(len(t))}
+        self._automaton: ahocorasick.Automaton | None = None
         self.words = _Words(self)
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}  # whether tokens can be neighbours; bounded
+
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Of all tokens, byte by byte; made for the first long word."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for token in self.ids:
+                self._automaton.add_word(token.decode("latin-1"), token)
+            self._automaton.make_automaton()
+        return self._automaton
 
     def lookahead(self) -> int:
         """How many bytes after a byte position can still take part in a token that covers it."""
@@ -97,91 +110,95 @@ class Vocabulary:
 
     def fits(self, left: bytes, right: bytes) -> bool:
         key = (left, right)
-        known = self._fits.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._fits) > CACHE_WORDS:
-                self._fits.clear()
-            known = self._fits[key] = self.merge(left + right) == ([left, right] if left else [right])
+            if len(self.pairs) > CACHE_WORDS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
 
 class _Words(dict):
-    """Encodings of short words as the bytes of int32 ids; bounded."""
+    """Encodings of short words as the bytes of int32 ids; bounded: what wasn't asked for since the table was last full is forgotten."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, word: str) -> bytes:
-        v, data = self.vocabulary, word.encode("utf-8", "surrogatepass")
-        if len(data) > v.lookahead():
-            machine = MergeMachine(v)
-            return np.array([*machine.feed(data), *machine.flush()], np.int32).tobytes()
-        # it ends within the lookahead, so nothing could be emitted before its end: merge at once
-        out = b"".join([v.packed[t] for t in v.merge(data)])
-        if len(data) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
+        v = self.vocabulary
+        out = self.old.get(word)
+        if out is None:
+            data = word.encode("utf-8", "surrogatepass")
+            if len(data) > v.lookahead():
+                machine = MergeMachine(v)
+                return np.array(machine.feed(data) + machine.flush(), np.int32).tobytes()
+            # it ends within the lookahead, so the machine could emit nothing before its end: merge at once, which takes a third of the time
+            out = b"".join([v.packed[t] for t in v.merge(data)])
+            if len(data) > CACHE_BYTES:
+                return out
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
 
 class MergeMachine:
-    """Bytes of one word in, final token ids out."""
+    """Bytes of one word in, final token ids out. Positions count from the word's first byte."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.data = b""  # from the first byte that is not emitted
-        self.begins = [0]  # by end position, relative to data; begins[0] stands for the start
-        self.last = [b""]  # the last token by end position
-
-    def feed(self, data: bytes) -> Iterator[int]:
-        v, ids, tails = self.v, self.v.ids, self.v.tails
-        self.data += data
-        for end in range(len(self.begins), len(self.data) + 1):
-            starts, start = [], end - 1
-            while start >= 0 and (piece := self.data[start:end]) in tails:
-                if piece in ids:
-                    starts.append(start)
-                start -= 1
-            for start in reversed(starts):  # longest first
-                token = self.data[start:end]
-                if v.fits(self.last[start], token):
-                    break
-            self.begins.append(start)
-            self.last.append(token)
-            if end >= 4 * v.longest:
-                yield from self._settle(v.lookahead())
-                if len(self.begins) <= end:  # something left the machine
-                    yield from self.feed(b"")
-                    return
-
-    def _settle(self, window: int) -> Iterator[int]:
+        self.matches = None  # the automaton's state
+        self.base = 0  # up to here all is emitted
+        self.begins = [0]  # of the last token by end position, from base on
+        self.last = [b""]  # the last token itself
+
+    def feed(self, data: bytes) -> list[int]:
+        v, text, out = self.v, data.decode("latin-1"), []
+        if self.matches is None:
+            self.matches = v.automaton.iter(text)
+        else:
+            self.matches.set(text)
+        base, begins, last, fits = self.base, self.begins, self.last, v.fits
+        end = base + len(begins)  # the position that is open
+        for at, token in self.matches:  # by end, the longest first
+            if at + 1 < end:
+                continue
+            start = end - len(token)
+            if start >= base and fits(last[start - base], token):
+                begins.append(start)
+                last.append(token)
+                end += 1
+                if end - base > 4 * v.longest:
+                    out += self._settle(v.lookahead())
+                    base, begins, last = self.base, self.begins, self.last
+        return out
+
+    def _settle(self, window: int) -> list[int]:
         """Emit what all positions from which a later token can start have in common."""
-        end = len(self.begins) - 1
-        waiting = set(range(max(0, end - window), end + 1))
+        end = self.base + len(self.begins) - 1
+        waiting = set(range(max(self.base, end - window), end + 1))
         while len(waiting) > 1:
             latest = max(waiting)
             waiting.remove(latest)
-            waiting.add(self.begins[latest])
+            waiting.add(self.begins[latest - self.base])
         (common,) = waiting
-        if common > 0:
-            yield from self._path(common)
-            boundary = self.last[common]
-            self.data = self.data[common:]
-            self.begins = [0, *(max(0, b - common) for b in self.begins[common + 1 :])]
-            self.last = [boundary, *self.last[common + 1 :]]
+        out = self._path(common)
+        k = common - self.base
+        self.base, self.begins, self.last = common, self.begins[k:], self.last[k:]
+        return out
 
     def _path(self, end: int) -> list[int]:
         out = []
-        while end > 0:
-            out.append(self.v.ids[self.last[end]])
-            end = self.begins[end]
+        while end > self.base:
+            out.append(self.v.ids[self.last[end - self.base]])
+            end = self.begins[end - self.base]
         return out[::-1]
 
     def flush(self) -> list[int]:
-        out = self._path(len(self.begins) - 1)
-        self.data, self.begins, self.last = b"", [0], [b""]
+        out = self._path(self.base + len(self.begins) - 1)
+        self.matches, self.base, self.begins, self.last = None, 0, [0], [b""]
         return out
 
 
@@ -293,11 +310,8 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
 
 def encode_bytes(text: str, v: Vocabulary) -> bytes:
     """The int32 bytes of a text's ids."""
-    if len(text) <= CHUNK:
-        general, plain, _ = patterns()
-        return b"".join(map(v.words.__getitem__, (plain if text.isascii() else general).findall(text)))
     machine = StreamingEncoder(v)
-    return b"".join(machine.feed(text[i : i + CHUNK], i + CHUNK >= len(text)) for i in range(0, len(text), CHUNK))
+    return b"".join([machine.feed(text[i : i + CHUNK], i + CHUNK >= len(text)) for i in range(0, len(text), CHUNK)])
 
 
 def encode(text: str, v: Vocabulary) -> list[int]:

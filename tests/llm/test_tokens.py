@@ -53,10 +53,37 @@ def test_memory_is_bounded():
     machine, most = tk.MergeMachine(tk.vocabulary()), 0
     for _ in range(100):
         list(machine.feed(b"abcabz" * 50))
-        most = max(most, len(machine.data))
+        most = max(most, len(machine.begins))
     assert most < 6 * tk.vocabulary().longest
 
 
+def test_every_text_streams(monkeypatch):
+    """Texts of any length go through the encoder in pieces."""
+    fed = []
+    feed = tk.StreamingEncoder.feed
+    monkeypatch.setattr(tk.StreamingEncoder, "feed", lambda self, text, final=False: fed.append(text) or feed(self, text, final))
+    tk.encode("a few words", tk.vocabulary())
+    assert fed == ["a few words"]
+
+
+def test_words_by_machine():
+    """The machine gives what merging by rank gives, for words of any length."""
+    v = tk.vocabulary()
+    for text in random_texts(60):
+        for word in text.split():
+            machine, data = tk.MergeMachine(v), word.encode("utf-8", "surrogatepass")
+            assert machine.feed(data[:5]) + machine.feed(data[5:]) + machine.flush() == [v.ids[t] for t in v.merge(data)]
+
+
+def test_table_of_words(monkeypatch):
+    """Words that come again stay in the bounded table."""
+    monkeypatch.setattr(tk, "CACHE_WORDS", 10)
+    words = tk._Words(tk.vocabulary())
+    for k in range(100):
+        words[f" word{k}"], words[" often"]
+        assert len(words) <= 10 and len(words.old) <= 10 and (" often" in words or " often" in words.old)
+
+
 def test_round_trip():
     v = tk.vocabulary()
     for text in random_texts(300):
