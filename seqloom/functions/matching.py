@@ -55,7 +55,7 @@ class Texts:
             here = self.at_offset(offset, k)
             wrong += table[letter][here]
             known += (here != 78) & (here != 110) & (here != 0)
-        return (wrong <= errors) & (known >= max(1, solid * len(pattern))) & (offset >= 0) & (offset + len(pattern) <= self.n)
+        return (wrong <= errors) & (known >= max(1, int(solid * len(pattern)))) & (offset >= 0) & (offset + len(pattern) <= self.n)
 
 
 def _search(texts: Texts, pattern: bytes, errors: int, offsets: Sequence[np.ndarray], table: np.ndarray, solid: float) -> np.ndarray:
@@ -83,7 +83,7 @@ def _by_pattern(seq: pa.Array, pattern: pa.Array, run) -> pa.Array:
 def match_forward(seq: Column, pattern: Column, errors: int = 0, within: int = 20, plain: bool = False) -> Column:
     """First start of the pattern (0-based, below `within`) with at most `errors` mismatches; -1 without a match.
 
-    At least half of the window must not be N. plain: letters match only themselves.
+    At least half of the window (rounded down) must not be N. plain: letters match only themselves.
     """
 
     @F.arrow_udf("int")
@@ -94,7 +94,7 @@ def match_forward(seq: Column, pattern: Column, errors: int = 0, within: int = 2
 
 
 def match_reverse(seq: Column, pattern: Column, errors: int = 0, part: float = 0.25) -> Column:
-    """Last start of the pattern in the last `part` of the read; -1 without a match. At least 90 % of the window must not be N."""
+    """Last start of the pattern in the last `part` of the read; -1 without a match. At least 90 % of the window (rounded down) must not be N."""
 
     @F.arrow_udf("int")
     def kernel(s: pa.Array, p: pa.Array) -> pa.Array:

@@ -84,8 +84,8 @@ class Scores:
     def trimmed(self, width: int, threshold: float, length: np.ndarray) -> np.ndarray:
         """Length after cutting a poor 3' end.
 
-        If the last window is poor, the cut goes left to the last good window, but not into the first quarter or window;
-        half a window is given up with it.
+        If the last window isn't over the threshold, the cut goes left to the last window that reaches it, but not into the first
+        quarter or window; half a window is given up with it.
         """
         if threshold == 0 or width <= 0 or not len(self.q):
             return length
@@ -97,7 +97,7 @@ class Scores:
         at = seen[np.minimum(self.start + np.maximum(last, 0), len(self.q) - 1)]
         edge = np.where(at >= self.start, at - self.start + 1, np.minimum(low + 1, last))
         final = self.sums[self.start + length] - self.sums[self.start + np.maximum(last, 0)]
-        noop = (width >= length) | (final >= need)
+        noop = (width >= length) | (final > need)
         return np.where(noop, length, np.maximum(0, edge - width // 2))
 
     def window_poor(self, width: int, threshold: float, length: np.ndarray) -> np.ndarray:

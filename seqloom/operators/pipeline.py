@@ -14,7 +14,7 @@ from .config import FilterConfig, require_implemented
 from .tiers import graded
 
 #: How far into a read a primer may begin, and an adapter.
-PRIMER_SCAN, ADAPTER_SCAN = 20, 40
+PRIMER_SCAN, ADAPTER_SCAN = 22, 40
 #: Quality offsets by fastqVersion; any other is 59.
 PHRED = {"1": 33, "2": 64}
 

@@ -108,7 +108,7 @@ _RUNS = " OR ".join(f"contains(seq, repeat('{b}', 8))" for b in fs.CODES)
 _TRIM = f"""WITH {SCORED}, c AS (SELECT read_ord, n, i, sum(q[i]) OVER (PARTITION BY read_ord ORDER BY i) AS cum FROM (SELECT read_ord, n, q, unnest(range(1, n + 1)) AS i FROM scored)),
   w AS (SELECT a.read_ord, a.n, a.i - 15 AS i, CAST(a.cum - coalesce(b.cum, 0) AS BIGINT) AS s FROM c a LEFT JOIN c b ON a.read_ord = b.read_ord AND b.i = a.i - 15 WHERE a.i >= 15),
   t AS (SELECT read_ord, n, max(CASE WHEN i = n - 15 THEN s END) AS last, max(CASE WHEN s >= 300 AND i > greatest(n // 4, 15) AND i < n - 15 THEN i END) AS good FROM w GROUP BY 1, 2)
-SELECT read_ord, CAST(CASE WHEN n <= 15 OR last >= 300 THEN n ELSE greatest(0, coalesce(good + 1, least(greatest(n // 4, 15) + 1, n - 15)) - 7) END AS INTEGER) AS trimmed_length
+SELECT read_ord, CAST(CASE WHEN n <= 15 OR last > 300 THEN n ELSE greatest(0, coalesce(good + 1, least(greatest(n // 4, 15) + 1, n - 15)) - 7) END AS INTEGER) AS trimmed_length
 FROM (SELECT s.read_ord, s.n, t.last, t.good FROM scored s LEFT JOIN t USING (read_ord))"""
 
 ORACLES = {

@@ -54,7 +54,7 @@ def adapters_clipped(spark, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (demultiplexed, demultiplexed_accepted, seed_reads, reoriented, adapters_clipped)}
 
 _P = "p AS (SELECT * FROM b WHERE forward_primer <> '')"
-_RANGE = f"range(0, {pipeline.PRIMER_SCAN})"
+_RANGE = "range(0, 22)"
 _CUT = f"""{_EXACT.replace('reads AS', 'raw AS', 1).replace('FROM reads) WHERE tag', 'FROM raw) WHERE tag')},
   b AS (SELECT read_ord, e.sample_idx, s.sample_id, forward_primer, reverse_primer, CASE WHEN e.start IS NULL THEN tagged ELSE substr(tagged, e.start + 11) END AS seq,
     CASE WHEN e.start IS NULL THEN repeat(chr(qual_offset + 40), 10) || quality ELSE substr(repeat(chr(qual_offset + 40), 10) || quality, e.start + 11) END AS quality, qual_offset, mate, seq_run, file_name, header, read_id,
@@ -75,7 +75,7 @@ ORACLES = {
     "reoriented": f"""WITH {READS}, {SAMPLES}, t AS (SELECT r.* REPLACE (CASE WHEN read_ord % 2 = 1 THEN {REVCOMP.format('seq')} ELSE seq END AS seq), forward_primer FROM reads r JOIN samples USING (sample_id) WHERE forward_primer <> ''),
       h AS ({_hits('t', 'forward_primer', _RANGE, 0, 0.5, 'min')}), u AS (SELECT * REPLACE ({REVCOMP.format('seq')} AS seq) FROM t), g AS ({_hits('u', 'forward_primer', _RANGE, 0, 0.5, 'min')})
       SELECT t.read_ord, CASE WHEN h.start IS NULL AND g.start IS NOT NULL THEN {REVCOMP.format('t.seq')} ELSE t.seq END AS seq, h.start IS NULL AND g.start IS NOT NULL AS turned FROM t LEFT JOIN h USING (read_ord) LEFT JOIN g USING (read_ord)""",
-    "adapters_clipped": f"""WITH {READS}, a AS (SELECT *, '{ADAPTERS[0]}' AS x, '{ADAPTERS[1]}' AS y FROM reads), h AS ({_hits('a', 'x', f'range(0, {pipeline.ADAPTER_SCAN})', 1, 0.5, 'min')}),
-      b AS (SELECT a.* REPLACE (substr(seq, CAST(coalesce(start + 17, 0) + 1 AS BIGINT)) AS seq, n - coalesce(start + 17, 0) AS n), CASE WHEN start IS NULL THEN 0 ELSE 1 END AS c FROM a LEFT JOIN h USING (read_ord)), k AS ({_hits('b', 'y', f'range(0, {pipeline.ADAPTER_SCAN})', 1, 0.5, 'min')})
+    "adapters_clipped": f"""WITH {READS}, a AS (SELECT *, '{ADAPTERS[0]}' AS x, '{ADAPTERS[1]}' AS y FROM reads), h AS ({_hits('a', 'x', 'range(0, 40)', 1, 0.5, 'min')}),
+      b AS (SELECT a.* REPLACE (substr(seq, CAST(coalesce(start + 17, 0) + 1 AS BIGINT)) AS seq, n - coalesce(start + 17, 0) AS n), CASE WHEN start IS NULL THEN 0 ELSE 1 END AS c FROM a LEFT JOIN h USING (read_ord)), k AS ({_hits('b', 'y', 'range(0, 40)', 1, 0.5, 'min')})
       SELECT read_ord, substr(seq, CAST(coalesce(start + 17, 0) + 1 AS BIGINT)) AS seq, CAST(c + CASE WHEN start IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_clipped FROM b LEFT JOIN k USING (read_ord)""",
 }

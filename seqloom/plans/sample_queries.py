@@ -122,7 +122,7 @@ def _hits(source: str, pattern: str, offsets: str, errors: int, solid: float, be
     match = _MATCH.format(a="substr(seq, CAST(o + k AS BIGINT), 1)", b=f"substr({pattern}, CAST(k AS BIGINT), 1)")
     return f"""SELECT read_ord, {best}(o) AS start FROM (SELECT *, unnest({offsets}) AS o FROM {source})
       WHERE o >= 0 AND o + length({pattern}) <= n AND list_sum(list_transform(range(1, length({pattern}) + 1), lambda k: CASE WHEN {match} THEN 0 ELSE 1 END)) <= {errors}
-        AND length(replace(substr(seq, CAST(o + 1 AS BIGINT), length({pattern})), 'N', '')) >= greatest(1, {solid} * length({pattern})) GROUP BY 1"""
+        AND length(replace(substr(seq, CAST(o + 1 AS BIGINT), length({pattern})), 'N', '')) >= greatest(1, floor({solid} * length({pattern}))) GROUP BY 1"""
 
 
 _PRIMED = f"{READS}, {SAMPLES}, primed AS (SELECT r.*, forward_primer, {REVCOMP.format('reverse_primer')} AS rc, reverse_primer FROM reads r JOIN samples USING (sample_id))"

@@ -81,7 +81,7 @@ _W, _T = CONFIG.trim_width, int(CONFIG.trim_width * CONFIG.trim_threshold)
 _LADDER = f"""c AS (SELECT read_ord, n, i, sum(q[i]) OVER w AS cum, sum({ERROR.format('q[i]')}) OVER w AS err, sum(q[i]) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS s15, sum(q[i]) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s20
    FROM (SELECT read_ord, n, q, unnest(range(1, n + 1)) AS i FROM scored) WINDOW w AS (PARTITION BY read_ord ORDER BY i)),
  t1 AS (SELECT read_ord, n, max(CASE WHEN i = n THEN s15 END) AS last, max(CASE WHEN i >= 15 AND s15 >= {_T} AND i - 15 > greatest(n // 4, 15) AND i < n THEN i - 15 END) AS good FROM c GROUP BY 1, 2),
- t2 AS (SELECT read_ord, n, n < 60 AS gone, n BETWEEN 60 AND 99 AS shortish, CASE WHEN n < 60 OR n <= 15 OR last >= {_T} THEN n ELSE greatest(0, coalesce(good + 1, least(greatest(n // 4, 15) + 1, n - 15)) - 7) END AS l1 FROM t1),
+ t2 AS (SELECT read_ord, n, n < 60 AS gone, n BETWEEN 60 AND 99 AS shortish, CASE WHEN n < 60 OR n <= 15 OR last > {_T} THEN n ELSE greatest(0, coalesce(good + 1, least(greatest(n // 4, 15) + 1, n - 15)) - 7) END AS l1 FROM t1),
  e3 AS (SELECT read_ord, min(CASE WHEN err >= 1.0 THEN i END) - 1 AS e1, min(CASE WHEN err >= 3.0 THEN i END) - 1 AS e2 FROM t2 JOIN c USING (read_ord) WHERE i <= l1 GROUP BY 1),
  t3 AS (SELECT t2.*, coalesce(e1, l1) AS b1, coalesce(e2, l1) AS b2 FROM t2 LEFT JOIN e3 USING (read_ord)),
  t4 AS (SELECT *, b1 < 100 AS low, CASE WHEN b1 >= 100 AND NOT gone THEN b1 ELSE l1 END AS l2, NOT gone AND l1 < n AS window_trimmed, NOT gone AND b1 >= 100 AND b1 < l1 AS error_trimmed FROM t3),

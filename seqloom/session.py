@@ -33,9 +33,13 @@ def local_session(cores: int = 8, app: str = "seqloom", **conf: str) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own where that is unset, in local sessions (tests) only: executors
+    of a cluster don't share the driver's disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -4,9 +4,10 @@ spark.dataSource.register(FastxDataSource); spark.read.format("fastx").load("a.f
 
 Plain files are cut into byte ranges and each range finds its first record itself: a FASTQ
 record begins at a line with @ whose second next begins with + and whose sequence and quality
-are of one length (a quality line may begin with @, too). Compressed files are one range.
-read_ord is the file's number and the record's byte offset, so it is unique and in input order
-without counting anything.
+are of one length (a quality line may begin with @, too). Compressed files are one range, read in
+blocks. read_ord is the file's number and the record's byte offset, so it is unique and in input
+order without counting anything. Inputs are parted by ;, the files of an input by commas: one file,
+both mates, or both mates with the index reads between them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import gzip
 import io
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "read_ord bigint, file_name string, format string, header string, read_id string, sequence string, quality string, qual_offset int"
+SCHEMA = "read_ord bigint, file_name string, format string, header string, read_id string, sequence string, quality string, qual_offset int, input int, mate int"
 RANGE = 64 << 20
+BLOCK = 1 << 20
+#: Mates by the number of files of an input; index reads are mate 0.
+MATES = {1: (1,), 2: (1, 2), 3: (1, 0, 2)}
 ROWS = 10_000
 FILE_SHIFT = 44
 
@@ -58,8 +63,8 @@ def _is_gzip(path: str) -> bool:
 
 
 class Range(InputPartition):
-    def __init__(self, number: int, path: str, start: int, stop: int | None) -> None:
-        self.number, self.path, self.start, self.stop = number, path, start, stop
+    def __init__(self, number: int, path: str, start: int, stop: int | None, input_: int = 0, mate: int = 1) -> None:
+        self.number, self.path, self.start, self.stop, self.input, self.mate = number, path, start, stop, input_, mate
 
 
 def _lines(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
@@ -73,6 +78,38 @@ def _lines(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
         yield at + m.start(), m[1]
 
 
+def _streamed(blocks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Byte offset and text of each line of blocks, whatever its end; holds one block and one line."""
+    at, rest = 0, b""
+    for block in blocks:
+        data = rest + block
+        whole = max(data.rfind(b"\n"), data.rfind(b"\r", 0, len(data) - 1)) + 1  # a CR at the end may be half a line end
+        yield from list(_lines(data[:whole], at))[:-1]
+        at, rest = at + whole, data[whole:]
+    yield from _lines(rest, at)
+
+
+def fastq_stream(lines: Iterator[tuple[int, bytes]], tolerant: bool) -> Iterator[tuple[int, str, str, str]]:
+    """What fastq_records gives for a whole file, of lines that come one by one."""
+    held: list[tuple[int, bytes]] = []
+    for line in lines:
+        if not held and not line[1].strip():
+            continue
+        held.append(line)
+        while len(held) == 4:
+            if _is_record(held, 0):
+                yield held[0][0], *(held[i][1].decode("utf-8", "replace") for i in (0, 1, 3))
+                held = []
+            elif tolerant:
+                held = held[1:]
+                while held and not held[0][1].strip():
+                    held = held[1:]
+            else:
+                raise ValueError(f"broken FASTQ record at byte {held[0][0]}")
+    if not tolerant and any(x.strip() for _, x in held):
+        raise ValueError(f"broken FASTQ record at byte {held[0][0]}")
+
+
 def fastq_records(lines: list[tuple[int, bytes]], tolerant: bool, first: bool, stop: int = 1 << 62) -> Iterator[tuple[int, str, str, str]]:
     """offset, header, sequence, quality of records that begin before stop; a broken one raises, or is skipped up to the
     next record if tolerant. Unless first, what is before the first record belongs to the range before, which raises if
@@ -120,7 +157,11 @@ def fasta_records(lines: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, st
 
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        paths = [p.strip() for p in re.split("[;,]", options.get("path", "")) if p.strip()]
+        inputs = [[p.strip() for p in x.split(",") if p.strip()] for x in options.get("path", "").split(";")]
+        inputs = [x for x in inputs if x]
+        if any(len(x) > 3 for x in inputs):
+            raise ValueError("an input has one to three files: reads, both mates, or both mates and index reads")
+        paths = [(p, n, m) for n, x in enumerate(inputs) for p, m in zip(x, MATES[len(x)], strict=True)]
         if not paths:
             raise ValueError("no path given")
         self.size = int(options.get("rangebytes", RANGE))
@@ -128,51 +169,93 @@ class FastxReader(DataSourceReader):
         self.offset = options.get("offset", "auto")
         self.tolerant = options.get("mode", "FAILFAST").upper() != "FAILFAST"
         self.limit = int(options.get("firstreads", 0))
-        self.files: list[tuple[str, int]] = []
-        for path in paths:
+        self.files: list[tuple[str, int, int, int]] = []
+        for path, number, mate in paths:
             fs, name = _open(path)
             info = fs.get_file_info(name)
             found = fs.get_file_info(pafs.FileSelector(name)) if info.type == pafs.FileType.Directory else [info]
             if info.type == pafs.FileType.NotFound:
                 raise ValueError(f"no such file: {path}")
             prefix = path.split("://")[0] + "://" if "://" in path else ""
-            self.files += sorted((prefix + f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
+            self.files += sorted((prefix + f.path, f.size, number, mate) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for number, (path, size) in enumerate(self.files):
+        for number, (path, size, input_, mate) in enumerate(self.files):
             if _is_gzip(path) or self.limit or size <= self.size:
-                out.append(Range(number, path, 0, None))
+                out.append(Range(number, path, 0, None, input_, mate))
             else:
-                out += [Range(number, path, at, min(size, at + self.size)) for at in range(0, size, self.size)]
+                out += [Range(number, path, at, min(size, at + self.size), input_, mate) for at in range(0, size, self.size)]
         return out
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, name = _open(part.path)
-        with fs.open_input_stream(name, compression=None) if _is_gzip(part.path) else fs.open_input_file(name) as source:
-            head = gzip.GzipFile(fileobj=io.BufferedReader(source)).read() if _is_gzip(part.path) else None
-            start_of_file = head[:4096] if head is not None else source.read_at(min(4096, source.size()), 0)
-            if not start_of_file.strip():
+        if _is_gzip(part.path):
+            with fs.open_input_stream(name, compression=None) as source:
+                yield from self._compressed(gzip.GzipFile(fileobj=io.BufferedReader(source)), part)
+            return
+        with fs.open_input_file(name) as source:
+            form, known = self._begin(source)
+            if form is None:
                 return
-            form = sniff(start_of_file) if self.form == "auto" else self.form
-            data = head if head is not None else self._range(source, part, form)
+            data = self._range(source, part, form)
         skip = 3 if part.start == 0 and data[:3] == b"\xef\xbb\xbf" else 0
         base = max(0, part.start - 1) if part.start else 0
         lines = list(_lines(data[skip:], base + skip))
         if part.start:  # the line that the cut went through belongs to the range before
             lines = lines[1:]
         stop = part.stop if part.stop is not None else 1 << 62
-        records = fastq_records(lines, self.tolerant, part.start == 0, stop) if form == "fastq" else fasta_records([x for k, x in enumerate(lines) if k >= next((i for i, y in enumerate(lines) if y[1][:1] == b">"), len(lines))])
-        known = None if self.offset == "auto" else {"1": 33, "2": 64}.get(self.offset, int(self.offset))
-        if known is None:
-            known = self._first_offset(start_of_file, form)
+        if form == "fastq":
+            records = fastq_records(lines, self.tolerant, part.start == 0, stop)
+        else:
+            records = fasta_records(lines[next((i for i, line in enumerate(lines) if line[1][:1] == b">"), len(lines)) :])
+        yield from self._rows(records, part, form, known, stop)
+
+    def _compressed(self, source: gzip.GzipFile, part: Range) -> Iterator[pa.RecordBatch]:
+        first = b""
+        while len(first) < 4 or not first.removeprefix(b"\xef\xbb\xbf").strip():
+            more = source.read(BLOCK)
+            if not more:
+                break
+            first += more
+        if not first.removeprefix(b"\xef\xbb\xbf").strip():
+            return
+        form = sniff(first) if self.form == "auto" else self.form
+        bom = 3 * first.startswith(b"\xef\xbb\xbf")
+        lines = ((at + bom, line) for at, line in _streamed(chain([first[bom:]], iter(lambda: source.read(BLOCK), b""))))
+        records = fastq_stream(lines, self.tolerant) if form == "fastq" else fasta_records(lines)
+        one = next(records, None)
+        if one is not None:
+            yield from self._rows(chain([one], records), part, form, self._given() or (detect_offset(one[1], one[3]) if form == "fastq" else 33), 1 << 62)
+
+    def _given(self) -> int | None:
+        return None if self.offset == "auto" else {"1": 33, "2": 64}.get(self.offset, int(self.offset))
+
+    def _begin(self, source) -> tuple[str | None, int]:
+        """Form and offset of a file from its first record, however far that goes; None for an empty file."""
+        size, have = source.size(), 1 << 14
+        while True:
+            data = source.read_at(min(have, size), 0).removeprefix(b"\xef\xbb\xbf")
+            if data.strip():
+                form = sniff(data) if self.form == "auto" else self.form
+                if form == "fasta" or self._given():
+                    return form, self._given() or 33
+                lines = list(_lines(data, 0))
+                record = next(fastq_records(lines if have >= size else lines[:-1], True, True), None)
+                if record:
+                    return form, detect_offset(record[1], record[3])
+            if have >= size:
+                return (form, 33) if data.strip() else (None, 33)
+            have *= 4
+
+    def _rows(self, records: Iterator[tuple[int, str, str, str]], part: Range, form: str, known: int, stop: int) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         short, seen = part.path.rsplit("/", 1)[-1], 0
         for at, header, sequence, quality in records:
             if at >= stop or (self.limit and seen >= self.limit):
                 break
             seen += 1
-            rows.append(((part.number << FILE_SHIFT) + at, short, form, header, re.split(r"\s", header[1:], maxsplit=1)[0], sequence.upper(), quality, known))
+            rows.append(((part.number << FILE_SHIFT) + at, short, form, header, re.split(r"\s", header[1:], maxsplit=1)[0], sequence.upper(), quality, known, part.input, part.mate))
             if len(rows) >= ROWS:
                 yield self._batch(rows)
                 rows = []
@@ -192,22 +275,15 @@ class FastxReader(DataSourceReader):
                 break
         return data
 
-    @staticmethod
-    def _first_offset(head: bytes, form: str) -> int:
-        if form == "fasta":
-            return 33
-        record = next(fastq_records(list(_lines(head.removeprefix(b"\xef\xbb\xbf"), 0)), True, True), None)
-        return detect_offset(record[1], record[3]) if record else 33
-
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.string()] * 6, pa.int32()]
+        kinds = [pa.int64(), *[pa.string()] * 6, *[pa.int32()] * 3]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class FastxDataSource(DataSource):
-    """Options: path (;-separated files or folders), fileformat (auto, fastq, fasta), offset (auto, 33, 64, 59; 1 and 2
+    """Options: path (;-separated inputs of files or folders), fileformat (auto, fastq, fasta), offset (auto, 33, 64, 59; 1 and 2
     for the first two), mode (FAILFAST, DROPMALFORMED), firstreads (so many of each file), rangebytes."""
 
     @classmethod
@@ -227,6 +303,20 @@ def read_fastx(spark: SparkSession, paths: str | list[str], **options: str) -> D
     return spark.read.format("fastx").options(**options).load(joined)
 
 
+def read_mates(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """One row a pair of inputs R1,R2 or R1,index,R2: input, stem, r1, r2 and index_read as structs; null where a mate is missing.
+
+    Mates are joined by what their ids share, not by their place, so files needn't be in step; same_mates() tells where they
+    aren't. A mate that comes twice counts as first read.
+    """
+    from ..functions.sequence import pair_stem
+
+    reads = read_fastx(spark, paths, **options).withColumn("stem", pair_stem(F.substr("header", F.lit(2))))
+    struct = F.struct("read_ord", "header", "read_id", F.col("sequence").alias("seq"), "quality", "qual_offset")
+    one = lambda m: F.min_by(F.when(F.col("mate") == m, struct), F.when(F.col("mate") == m, F.col("read_ord")))
+    return reads.groupBy("input", "stem").agg(one(1).alias("r1"), one(2).alias("r2"), one(0).alias("index_read"))
+
+
 def with_quality(fasta: DataFrame, qual: DataFrame) -> DataFrame:
     """FASTA records with the scores of a QUAL file (numbers, as read_qual gives them); NO_QUALITY for each base without."""
     joined = fasta.drop("quality").join(qual.select("read_id", "scores"), "read_id", "left")

@@ -157,3 +157,64 @@ def test_derep_map(spark):
     assert sorted(map(tuple, named.collect())) == [(0, "S0"), (1, "S1")]
     assert sorted((r.query, r.idx, r.n) for r in occ.collect()) == [("r1", 0, 2), ("r1", 1, 3), ("r2", 1, 3)]
     assert [r.query for r in derep_map_problems(occ).collect()] == ["r2"]
+
+
+def test_offset_of_a_long_first_record(spark, tmp_path):
+    """The offset comes from the first whole record, however long, after blanks of any number."""
+    path = tmp_path / "a.fq"
+    for size in (600, 6000, 70_000):
+        path.write_text("\n" * size + f"@a\n{'A' * size}\n+\n{'h' * size}\n@b\nA\n+\nB\n")
+        got = fastx.read_fastx(spark, str(path)).collect()
+        assert [(r.read_id, len(r.sequence), r.qual_offset) for r in got] == [("a", size, 64), ("b", 1, 64)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 1 << 20])
+def test_compressed_in_blocks(tmp_path, monkeypatch, end, block):
+    monkeypatch.setattr(fastx, "BLOCK", block)
+    rows = records(40)
+    with gzip.open(tmp_path / "a.fq.gz", "wb") as f:
+        f.write(("".join(f"{end}@{h}{end}{s}{end}+{end}{q}{end}" for h, s, q in rows)).encode())
+    with gzip.open(tmp_path / "b.fa.gz", "wb") as f:
+        f.write(b"\xef\xbb\xbf" + "".join(f">{h}{end}{s[:9]}{end}{s[9:]}{end}" for h, s, _ in rows).encode())
+
+    def read(name, **options):
+        reader = fastx.FastxReader({"path": str(tmp_path / name), **options})
+        return [x for part in reader.partitions() for batch in reader.read(part) for x in batch.to_pylist()]
+
+    assert [(r["read_id"], r["sequence"], r["quality"]) for r in read("a.fq.gz")] == rows
+    assert [(r["read_id"], r["sequence"]) for r in read("b.fa.gz")] == [(h, s) for h, s, _ in rows]
+    with gzip.open(tmp_path / "c.fq.gz", "wb") as f:
+        f.write(f"@a{end}A{end}+{end}I{end}junk{end}@b{end}C{end}+{end}I".encode())
+    assert [r["read_id"] for r in read("c.fq.gz", mode="DROPMALFORMED")] == ["a", "b"]
+    with pytest.raises(ValueError, match="broken"):
+        read("c.fq.gz")
+
+
+def test_mates_of_files(spark, tmp_path):
+    """R1,index,R2 by commas, inputs by semicolons; mates are joined by their ids."""
+    for name, ids in (("x1", "abc"), ("xi", "abc"), ("x2", "cba"), ("y1", "ad"), ("y2", "a")):
+        (tmp_path / name).write_text("".join(f"@{i} {name[1]}:N:0:\n{name[1].replace('i', 'G').replace('1', 'AC').replace('2', 'TT')}\n+\n{'I' * (1 + (name[1] != 'i'))}\n" for i in ids))
+    p = {n: str(tmp_path / n) for n in ("x1", "xi", "x2", "y1", "y2")}
+    got = fastx.read_mates(spark, f"{p['x1']},{p['xi']},{p['x2']};{p['y1']},{p['y2']}").orderBy("input", "stem").collect()
+    assert [(r.input, r.stem, r.r1 and r.r1.seq, r.r2 and r.r2.seq, r.index_read and r.index_read.seq) for r in got] == [
+        (0, "a", "AC", "TT", "G"), (0, "b", "AC", "TT", "G"), (0, "c", "AC", "TT", "G"), (1, "a", "AC", "TT", None), (1, "d", "AC", None, None)]
+    with pytest.raises(Exception, match="three files"):
+        fastx.read_fastx(spark, ",".join(p.values())).collect()
+
+
+def test_folder_of_a_cluster():
+    """A machine's own folder is only taken in local sessions."""
+    from seqloom.session import shared_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf = Conf({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert shared_dir(Session()) == "hdfs://x/y"
