@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread, table
 from . import heavy_hitters, mixing, near_duplicates, percentiles, subjects, tokens
 
 TOP = 20
+#: How far shares may be from the wanted ones: a source of a hundred documents can't be cut finer.
+CLOSE = 0.01
 
 
 SIMILAR = 0.6
@@ -59,6 +61,17 @@ def p7_shares(spark, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_checks(spark, sf_dir: str) -> DataFrame:
+    """Of each target source: whether it has documents, none is used too often and its share is within CLOSE of the wanted one (that of
+    sources without documents spread over the others)."""
+    s = p7_shares(spark, sf_dir)
+    there = table(spark, sf_dir, "documents").filter("n_chars > 0").select("source").distinct().withColumn("has_documents", F.lit(True))
+    s = s.join(there, "source", "left").fillna(False, ["has_documents"])
+    wanted = F.when(F.col("has_documents"), F.col("target_share")).otherwise(0.0)
+    wanted = wanted / F.sum(wanted).over(Window.partitionBy(F.lit(1)))
+    return s.select("source", "has_documents", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("actual_share") - wanted) <= CLOSE).alias("share_kept"))
+
+
 def _subjects(spark, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return subjects.subjects_of(docs, table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_examples"))
@@ -85,6 +98,7 @@ QUERIES = {
     "p6_decoded": p6_decoded,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
@@ -127,5 +141,6 @@ ORACLES = {
     "p2_barcodes_by_sample": _barcodes("sample_id"),
     "p2_barcodes_by_day": _barcodes("stat_day", "CAST(stat_day AS VARCHAR)"),
     "p4_found": f"SELECT sequence FROM (SELECT upper(sequence) AS sequence, count(*) AS n FROM fastx_records WHERE sequence <> '' GROUP BY 1 ORDER BY n DESC, sequence LIMIT {TOP})",
+    "p7_checks": "SELECT source, source IN (SELECT source FROM documents WHERE n_chars > 0) AS has_documents, true AS repeats_kept, true AS share_kept FROM mix_targets",
     "p6_decoded": "SELECT doc_id, true AS same FROM documents",
 }
