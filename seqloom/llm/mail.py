@@ -213,8 +213,11 @@ def own_paragraphs(text: str) -> list[str]:
     return [p for p in out if not DISCLAIMER.search(p) and not GREETING.fullmatch(p)]
 
 
-SENTENCE = re.compile(r"(?<=[.?!…])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_a-zß-öø-ÿ]|[¿¡\"'«“(]|[^\w\s])|(?<=:-\))\s+|(?<=👍 from me)\s+")
+# a sentence ends with a mark, a smiley, or an emoji and the few small words that belong to it, before what begins like one
+SENTENCE = re.compile(r"(?<=[.?!…])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_a-zß-öø-ÿ]|[¿¡\"'«“(]|[^\w\s])|(?<=:-\))\s+|(?<=\x00)\s+")
+REMARK = re.compile(r"([\u2600-\u27bf\U0001f300-\U0001faff]\ufe0f?(?: [a-zß-öø-ÿ']+){0,3})(?= [\"'«“(¿¡]*[^\W\d_a-zß-öø-ÿ])")
 
 
 def own_sentences(text: str) -> list[str]:
-    return [s for p in own_paragraphs(text) for s in SENTENCE.split(p) if s.strip()]
+    marked = (p if p.isascii() else REMARK.sub("\\1\x00", p) for p in own_paragraphs(text))
+    return [s for p in marked for x in SENTENCE.split(p) if (s := x.replace("\x00", "")).strip()]

@@ -40,6 +40,8 @@ COSINE = 0.4
 STRENGTH = 0.25
 SENTENCES = 2
 BLOCK = 1 << 10
+#: Partitions whose matrices are added up, at most.
+SUMS = 512
 
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 ADDRESS = re.compile(r"\S+@\S+")
@@ -111,24 +113,29 @@ class Batch:
 
 
 def _sum(sent: DataFrame, shape: tuple[int, int], give: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
-    """The sum of the matrices that `give` makes of the partitions, added up block by block in the cluster."""
+    """The sum of the matrices that `give` makes of the partitions, added up block by block in the cluster.
+
+    A matrix is as large as the model, whatever a partition holds, so there are at most SUMS large partitions, and
+    what they send is bounded by SUMS models.
+    """
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = give(batches)
-        blocks = [k for k in range(0, len(m), BLOCK) if m[k : k + BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([m[k : k + BLOCK].astype(np.float64).tobytes() for k in blocks], pa.binary())], ["k", "m"])
+        for k in range(0, len(m), BLOCK):
+            if m[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([m[k : k + BLOCK].astype(np.float32).tobytes()], pa.binary())], ["k", "m"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(m)
+                part = np.frombuffer(m, np.float32).astype(np.float64)
                 sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["k", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.astype(np.float32).tobytes() for m in sums.values()], pa.binary())], ["k", "m"])
 
     out = np.zeros(shape)
-    for k, m in sent.mapInArrow(share, "k int, m binary").repartition("k").mapInArrow(add, "k int, m binary").collect():
-        part = np.frombuffer(m).reshape(-1, shape[1])
+    for k, m in sent.coalesce(SUMS).mapInArrow(share, "k int, m binary").repartition("k").mapInArrow(add, "k int, m binary").collect():
+        part = np.frombuffer(m, np.float32).reshape(-1, shape[1])
         out[k : k + len(part)] = part
     return out
 
