@@ -86,8 +86,24 @@ def ranked(derep: DataFrame, keys: list[str]) -> DataFrame:
     return derep.orderBy(F.desc("total"), *keys)
 
 
+#: Positions of a key whose sums are one row.
+SPAN = 256
+
+
 def mean_quality(reads: DataFrame, key: str, quality: str = "quality", offset: str = "qual_offset") -> DataFrame:
-    """key, position (from 0), mean: the rounded mean score of each base over all reads of a key; scores under 0 count 0."""
+    """key, position (from 0), mean: the rounded mean score of each base over all reads of a key; scores under 0 count 0.
+
+    A batch leaves one row for a key and SPAN positions with arrays of sums and counts, which are added up by position
+    before the key is spread over its positions; a null key is a key.
+    """
+
+    def spans(k: pa.Array, sums: np.ndarray, n: np.ndarray, place: np.ndarray, key_of: np.ndarray) -> pa.RecordBatch:
+        """One row for each key and span of rows ordered by key and position."""
+        span = place // SPAN
+        first = np.flatnonzero(np.concatenate(([True], (key_of[1:] != key_of[:-1]) | (span[1:] != span[:-1])))) if len(place) else np.zeros(0, np.int64)
+        bounds = pa.array(np.concatenate((first, [len(place)])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (place.astype(np.int32), sums, n)]
+        return pa.RecordBatch.from_arrays([k.take(pa.array(key_of[first])), pa.array(span[first].astype(np.int32)), *lists], ["k", "span", "p", "s", "n"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,17 +113,59 @@ def mean_quality(reads: DataFrame, key: str, quality: str = "quality", offset: s
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
             score = np.maximum(flat.astype(np.int64) - batch.column(2).fill_null(33).to_numpy(zero_copy_only=False)[row], 0)
-            coded = batch.column(0).dictionary_encode("encode")  # a null key is a key
+            coded = batch.column(0).dictionary_encode("encode")
             width = max(1, int(n.max(initial=1)))
             pair = coded.indices.to_numpy().astype(np.int64)[row] * width + np.arange(len(flat)) - at[:-1][row]
-            found, back = np.unique(pair, return_inverse=True)
-            sums = np.bincount(back, score, len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(found // width)), pa.array((found % width).astype(np.int32)), pa.array(sums), pa.array(np.bincount(back, minlength=len(found)))], ["k", "position", "s", "n"])
+            order = np.argsort(pair, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], pair[order][1:] != pair[order][:-1]))) if len(pair) else np.zeros(0, np.int64)
+            found = pair[order][first]
+            sums = np.add.reduceat(score[order], first) if len(first) else np.zeros(0, np.int64)
+            yield spans(coded.dictionary, sums, np.diff(np.concatenate((first, [len(pair)]))).astype(np.int64), found % width, found // width)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and span, whole ones at a time, to means by position."""
+        for rows in whole_groups(batches, 2):
+            key_of = group_numbers(rows, 2)
+            p, s, n = (rows.column(c).combine_chunks() for c in ("p", "s", "n"))
+            sizes = np.diff(p.offsets.to_numpy())
+            where = np.repeat(key_of, sizes) * SPAN + p.flatten().to_numpy() % SPAN
+            total, count = (np.bincount(where, x.flatten().to_numpy(), (key_of[-1] + 1) * SPAN) for x in (s, n))
+            at = np.flatnonzero(count)
+            first = np.flatnonzero(np.concatenate(([True], key_of[1:] != key_of[:-1])))
+            span = rows.column("span").combine_chunks().to_numpy()[first]
+            mean = np.floor(total[at] / count[at] + 0.5).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column("k").combine_chunks().take(pa.array(first[at // SPAN])), pa.array((span[at // SPAN] * SPAN + at % SPAN).astype(np.int32)), pa.array(mean)], ["k", "position", "mean"])
 
     kind = reads.schema[key].dataType.simpleString()
-    parts = reads.select(key, quality, offset).mapInArrow(local, f"k {kind}, position int, s bigint, n bigint")
-    summed = parts.groupBy("k", "position").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return summed.select(F.col("k").alias(key), "position", F.floor(F.col("s") / F.col("n") + 0.5).cast("int").alias("mean"))
+    parts = reads.select(key, quality, offset).mapInArrow(local, f"k {kind}, span int, p array<int>, s array<bigint>, n array<bigint>")
+    ordered = parts.repartition("k", "span").sortWithinPartitions("k", "span")
+    return ordered.mapInArrow(means, f"k {kind}, position int, mean int").withColumnRenamed("k", key)
+
+
+def group_numbers(rows: pa.Table, columns: int) -> np.ndarray:
+    """The number of each row's group, from 0, of rows sorted by their first columns; nulls are equal."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for c in range(columns):
+        code = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new) - 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows sorted by their first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        number = group_numbers(rows, columns)
+        cut = int(np.searchsorted(number, number[-1]))  # the last group may go on
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held = rows.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def best_subgroup(reads: DataFrame, key: str, merge_length: str) -> DataFrame:
