@@ -16,9 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 WIDTH = 1 << 18
 DEPTH = 4
 HEAP = 1024
+#: Candidates to which they may be widened.
+MOST = 1 << 19
+WIDEST = 1 << 21
 
 
 class CountMin:
@@ -100,15 +105,29 @@ def heavy_candidates(df: DataFrame, value: Column, width: int = WIDTH, depth: in
     return parts.mapInArrow(sketch, "h bigint, approx_count bigint, error_bound bigint")
 
 
-def most_frequent(df: DataFrame, value: Column, out: str, k: int, width: int = WIDTH, depth: int = DEPTH, heap: int = HEAP) -> DataFrame:
-    """The k most frequent values: `out`, approx_count, error_bound and n_rows, the exact rows; ties by value.
+def counted(df: DataFrame, value: Column, out: str, k: int, width: int, depth: int, heap: int) -> DataFrame:
+    """The k most frequent of at most `heap` candidates, with `guaranteed`: no value that isn't a candidate can have more rows.
 
-    The candidates of all partitions, cut to `heap` of them by estimate, are broadcast (16 bytes each) to the second
-    scan. As estimates are never too low, the result is exact where the k-th n_rows is at least the least estimate
-    among the candidates; with fewer than `heap` candidates it always is. Null values are left out, an empty table
-    gives no rows.
+    The candidates are broadcast (16 bytes each) to the second scan. Estimates are never too low, so a value that was
+    left out has at most as many rows as the least estimate of a full set of candidates.
     """
     best = heavy_candidates(df, value, width, depth, heap).orderBy(F.desc("approx_count"), "h").limit(heap)
+    cut = best.agg(F.when(F.count("*") >= heap, F.min("approx_count")).otherwise(0)).scalar()
     named = df.select(value.alias(out)).filter(F.col(out).isNotNull()).withColumn("h", F.xxhash64(out))
     exact = named.join(F.broadcast(best.select("h")), "h", "left_semi").groupBy("h", out).agg(F.count("*").alias("n_rows"))
-    return exact.join(F.broadcast(best), "h").select(out, "approx_count", "error_bound", "n_rows").orderBy(F.desc("n_rows"), out).limit(k)
+    top = exact.join(F.broadcast(best), "h").orderBy(F.desc("n_rows"), out).limit(k)
+    return top.select(out, "approx_count", "error_bound", "n_rows", (F.col("n_rows") >= cut).alias("guaranteed"))
+
+
+def most_frequent(df: DataFrame, value: Column, out: str, k: int, width: int = WIDTH, depth: int = DEPTH, heap: int = HEAP) -> DataFrame:
+    """The k most frequent values: `out`, approx_count, error_bound, n_rows (the exact rows) and guaranteed; ties by value.
+
+    Runs when called, as the k rows tell whether the candidates were enough: if not, it runs again with eight times as
+    many in a sketch eight times as wide, up to MOST of them; beyond that, rows that aren't sure say so. Null values are left
+    out, an empty table gives no rows.
+    """
+    while True:
+        found = written(counted(df, value, out, k, width, depth, heap))
+        if heap >= MOST or found.filter(~F.col("guaranteed")).isEmpty():
+            return found.orderBy(F.desc("n_rows"), out)
+        width, heap = min(width * 8, WIDEST), heap * 8

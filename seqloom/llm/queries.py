@@ -32,13 +32,17 @@ def _sequences():
     return F.nullif(F.upper("sequence"), F.lit(""))
 
 
+def _frequent(spark, sf_dir: str) -> DataFrame:
+    return heavy_hitters.most_frequent(table(spark, sf_dir, "fastx_records"), _sequences(), "sequence", TOP)
+
+
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    return p4_counts(spark, sf_dir).select("sequence")
+    return _frequent(spark, sf_dir).select("sequence")
 
 
 def p4_counts(spark, sf_dir: str) -> DataFrame:
-    """With approximate and exact counts."""
-    return heavy_hitters.most_frequent(table(spark, sf_dir, "fastx_records"), _sequences(), "sequence", TOP)
+    """With exact counts, whether estimates are nowhere too low and whether no other value can have more rows."""
+    return _frequent(spark, sf_dir).select("sequence", "n_rows", (F.col("approx_count") >= F.col("n_rows")).alias("never_low"), "guaranteed")
 
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
@@ -141,6 +145,7 @@ ORACLES = {
     "p2_barcodes_by_sample": _barcodes("sample_id"),
     "p2_barcodes_by_day": _barcodes("stat_day", "CAST(stat_day AS VARCHAR)"),
     "p4_found": f"SELECT sequence FROM (SELECT upper(sequence) AS sequence, count(*) AS n FROM fastx_records WHERE sequence <> '' GROUP BY 1 ORDER BY n DESC, sequence LIMIT {TOP})",
-    "p7_checks": "SELECT source, source IN (SELECT source FROM documents WHERE n_chars > 0) AS has_documents, true AS repeats_kept, true AS share_kept FROM mix_targets",
+    "p4_counts": f"SELECT upper(sequence) AS sequence, count(*) AS n_rows, true AS never_low, true AS guaranteed FROM fastx_records WHERE sequence <> '' GROUP BY 1 ORDER BY n_rows DESC, sequence LIMIT {TOP}",
+    "p7_checks": "SELECT source, source IN (SELECT source FROM documents WHERE n_chars > 0 AND source IS NOT NULL) AS has_documents, true AS repeats_kept, true AS share_kept FROM mix_targets",
     "p6_decoded": "SELECT doc_id, true AS same FROM documents",
 }

@@ -80,3 +80,12 @@ def test_most_frequent(spark):
 def test_ties(spark):
     df = spark.createDataFrame([(s,) for s in "edcba"], "s string")
     assert [r.s for r in hh.most_frequent(df, F.col("s"), "s", 3).collect()] == ["a", "b", "c"]
+
+
+def test_widened_until_sure(spark):
+    """Few candidates for many values of nearly one count: they are widened until nothing else can have more rows."""
+    rows = [(f"v{k}",) for k in range(300) for _ in range(5 + (k % 50 == 0))]
+    df = spark.createDataFrame(rows, "s string").repartition(3)
+    got = hh.most_frequent(df, F.col("s"), "s", 6, heap=8).collect()
+    assert [(r.s, r.n_rows) for r in got] == [(s, 6) for s in sorted(f"v{k}" for k in range(0, 300, 50))]
+    assert all(r.guaranteed and r.approx_count >= r.n_rows for r in got)
