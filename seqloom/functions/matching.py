@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 from itertools import product
 
 import numpy as np
@@ -58,7 +58,7 @@ class Texts:
         return (wrong <= errors) & (known >= max(1, int(solid * len(pattern)))) & (offset >= 0) & (offset + len(pattern) <= self.n)
 
 
-def _search(texts: Texts, pattern: bytes, errors: int, offsets: Sequence[np.ndarray], table: np.ndarray, solid: float) -> np.ndarray:
+def _search(texts: Texts, pattern: bytes, errors: int, offsets: Iterable[np.ndarray], table: np.ndarray, solid: float) -> np.ndarray:
     found = np.full(len(texts.n), -1, np.int64)
     for offset in offsets:
         open_ = found < 0
@@ -80,15 +80,21 @@ def _by_pattern(seq: pa.Array, pattern: pa.Array, run) -> pa.Array:
     return pa.array(out, mask=~done)
 
 
-def match_forward(seq: Column, pattern: Column, errors: int = 0, within: int = 20, plain: bool = False) -> Column:
-    """First start of the pattern (0-based, below `within`) with at most `errors` mismatches; -1 without a match.
+def match_forward(seq: Column, pattern: Column, errors: int = 0, within: int = 20, plain: bool = False, part: float = 0) -> Column:
+    """First start of the pattern (0-based, below `within`, or if `part` is given below that part of the read) with at most
+    `errors` mismatches; -1 without a match.
 
     At least half of the window (rounded down) must not be N. plain: letters match only themselves.
     """
 
     @F.arrow_udf("int")
     def kernel(s: pa.Array, p: pa.Array) -> pa.Array:
-        return _by_pattern(s, p, lambda t, x: _search(t, x, errors, [np.full(len(t.n), k) for k in range(within)], PLAIN if plain else MISMATCH, 0 if plain else 0.5))
+        def run(t: Texts, x: bytes) -> np.ndarray:
+            ends = np.floor(t.n * part).astype(np.int64) if part else np.full(len(t.n), within)
+            offsets = (np.where(k < ends, k, -1) for k in range(int(ends.max(initial=0))))
+            return _search(t, x, errors, offsets, PLAIN if plain else MISMATCH, 0 if plain else 0.5)
+
+        return _by_pattern(s, p, run)
 
     return kernel(seq, pattern)
 

@@ -39,7 +39,7 @@ KEYS = {
     "SyncReadPairs": "sync_pairs",
 }
 #: Options whose effect isn't implemented, with the value at which they have none: any other is an error.
-MISSING = {"PEheaderPairFmt": 0, "ExtensivePrimerChecks": False, "AmpliconShortPE": False, "CheckForMixedPairs": False, "CheckForReversedSeqs": False}
+MISSING = {"PEheaderPairFmt": 0, "AmpliconShortPE": False}
 SECOND = {"min_length", "min_quality", "max_ambiguous", "window_threshold", "trim_threshold", "primer_errors", "keep_primer", "max_accumulated_error", "need_reverse_primer", "need_forward_primer"}
 
 
@@ -87,6 +87,7 @@ class FilterConfig:
     check_mixed_pairs: bool = False
     check_reversed: bool = False
     sync_pairs: bool = False
+    binomial_both: bool = False
     second_output: bool = True
 
 

@@ -107,7 +107,7 @@ def graded(seq: Column, quality: Column, offset: Column, mate: Column, config: F
             demote("low_quality", low & ~poor)
 
         if c.alpha != -1:
-            first = mates.fill_null(1).to_numpy(zero_copy_only=False) == 1
+            first = (mates.fill_null(1).to_numpy(zero_copy_only=False) == 1) | c.binomial_both
             fail("binomial", first & (s.expected_errors(int(c.max_expected_errors), c.alpha, length) > c.max_expected_errors))
 
         place = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
