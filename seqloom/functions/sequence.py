@@ -56,6 +56,12 @@ def canonical(seq: Column, instead: str = "A") -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGT]", instead)
 
 
+def canonical_quality(seq: Column, quality: Column, offset: Column) -> Column:
+    """The quality text of canonical(): score 0 where a base was replaced. Texts of unlike lengths give null."""
+    letters = F.zip_with(F.split(F.upper(seq), ""), F.split(quality, ""), lambda b, q: F.when(b.rlike("[^ACGT]"), F.chr(offset)).otherwise(q))
+    return F.when(F.length(seq) == F.length(quality), F.when(F.length(seq) == 0, F.lit("")).otherwise(F.array_join(letters, "")))
+
+
 def wrap(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 

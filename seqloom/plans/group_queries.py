@@ -11,7 +11,8 @@ from ..operators import clusters, concatemers, derep, pairs
 from ..operators.keyed_chunks import positioned
 from ..operators.representatives import representatives
 from ..session import table
-from .base import READS, SAMPLES, reads, samples
+from .base import ERROR, READS, SAMPLES, SCORED, reads, samples
+from .sample_queries import _hits
 from .tier_queries import _ALL, graded
 
 KEY = 100
@@ -72,6 +73,22 @@ def merge_statistics(spark, d: str) -> DataFrame:
     return pairs.merge_statistics(pairs.merge_pairs(_overlapping(spark, d)), ["sample_id"])
 
 
+def merge_errors(spark, d: str) -> DataFrame:
+    """Reads of 90 to 130 bases taken apart, with an N in the first mate and a wrong base of low score in the second: they come out as
+    they were, with the scores that both mates give. Left out are reads whose right base has a lower score than the wrong one."""
+    apart = _overlapping(spark, d).join(reads(spark, d).select("read_ord", F.length("seq").alias("n")), "read_ord")
+    apart = apart.filter(F.col("n").between(90, 130) & (F.ascii(F.substr("r1.quality", F.lit(76))) - F.col("r1.qual_offset") >= 2))
+    put = lambda c, at, x: F.concat(F.substr(c, F.lit(1), at), x, F.substr(c, at + 2))
+    one, two = F.col("n") - 76, F.col("n") - 76  # of the read, the bases n - 75 and 76
+    wrong, low = F.translate(F.substr("r2.seq", two + 1, F.lit(1)), "ACGT", "CATG"), F.chr(F.col("r1.qual_offset") + 2)
+    made = apart.select(
+        "read_ord",
+        F.struct(put(F.col("r1.seq"), one, F.lit("N")).alias("seq"), put(F.col("r1.quality"), one, low).alias("quality"), "r1.qual_offset").alias("r1"),
+        F.struct(put(F.col("r2.seq"), two, wrong).alias("seq"), put(F.col("r2.quality"), two, low).alias("quality"), "r2.qual_offset").alias("r2"),
+    )
+    return pairs.merge_pairs(made).select("read_ord", "merge.seq", "merge.quality", "merge.overlap", "merge.mismatches")
+
+
 def merge_consensus_all(spark, d: str) -> DataFrame:
     """All reads taken apart; those that don't merge come out with nulls."""
     m = pairs.merge_pairs(_apart(reads(spark, d)))
@@ -178,10 +195,6 @@ def otu_matrix_long(spark, d: str) -> DataFrame:
 
 
 def otu_matrix(spark, d: str) -> DataFrame:
-    return clusters.matrix(_otu_counts(spark, d).filter("sample_id IN ('derep_RUN000', 'derep_RUN001', 'derep_RUN002')"), ["derep_RUN000", "derep_RUN001", "derep_RUN002"])
-
-
-def otu_matrix_all(spark, d: str) -> DataFrame:
     """A column for each sample of the counts."""
     c = _otu_counts(spark, d)
     return clusters.matrix(c, clusters.sample_names(c))
@@ -240,7 +253,7 @@ def demux_bp_budget(spark, d: str) -> DataFrame:
     return running_sum(r, ["seq_run"], ["read_ord"], "n", "used", inclusive=False).filter("used < 20000").select("read_ord", "seq_run", "used")
 
 
-QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_statistics, merge_consensus_all, merge_statistics_pairs, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_matrix_all, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
+QUERIES = {f.__name__: f for f in (pair_join, pair_route, pair_orientation, merge_pairs, merge_consensus, merge_errors, merge_statistics, merge_consensus_all, merge_statistics_pairs, subset_semi, subset_anti, derep_counts, derep_order_rule, derep_occurrence, derep_min_copies, derep_sample_min_copies, derep_per_run, derep_mean_quality, derep_report, derep_ranked, derep_best_subgroup, cluster_parse, chimera_split, otu_matrix_long, otu_matrix, otu_added_counts, otu_unknown, seed_percentiles, best_representative, concatemer_split, concatemer_statistics, demux_bp_budget)}
 
 _STEM = "seq_run || '|' || regexp_replace(regexp_extract(read_id, '^[^ \\t]*'), '([/.][12]|#[12]:0)$', '')"
 _JOINED = "p AS (SELECT {stem} AS pair_id, arg_min(read_ord, read_ord) FILTER (mate = 1) AS first, arg_min(read_ord, read_ord) FILTER (mate = 2) AS second FROM reads GROUP BY 1)".replace("{stem}", _STEM)
@@ -257,7 +270,18 @@ _UC = """a AS (SELECT f.rec_ord, f.read_id, f.file_name, t, CASE WHEN rec_ord %
 
 _APART = READS + ", apart AS (SELECT * FROM reads WHERE n BETWEEN 90 AND 148 AND NOT regexp_matches(seq, '[^ACGT]') AND NOT regexp_matches(seq, 'A{12}|C{12}|G{12}|T{12}'))"
 
+_SCORE = "CAST(least(40, greatest(0, floor(-10 * log10(greatest(1e-12, {x})) + 0.5))) AS INTEGER)"
+_AGREE = _SCORE.format(x="e * e / 3 / greatest(1e-12, 1 - 2 * e + 4 * e * e / 3)")
+_DIFFER = _SCORE.format(x="least(e, o) * (1 - greatest(e, o) / 3) / (e + o - 4 * e * o / 3)")
+
 ORACLES = {
+    "merge_errors": f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE n BETWEEN 90 AND 130 AND NOT regexp_matches(seq, '[^ACGT]') AND NOT regexp_matches(seq, 'A{{12}}|C{{12}}|G{{12}}|T{{12}}') AND q[76] >= 2),
+      b AS (SELECT read_ord, n, i, q, {ERROR.format('q')} AS e, pow(10.0, -0.2) AS o FROM (SELECT read_ord, n, i, q[i] AS q FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f))),
+      m AS (SELECT read_ord, string_agg(chr(33 + CASE WHEN i < n - 79 OR i > 80 THEN CAST(least(93, greatest(0, q)) AS INTEGER) WHEN i = n - 75 OR i = 76 THEN {_DIFFER} ELSE {_AGREE} END), '' ORDER BY i) AS quality FROM b GROUP BY 1)
+      SELECT read_ord, seq, m.quality, CAST(160 - n AS INTEGER) AS overlap, CAST(2 AS INTEGER) AS mismatches FROM f JOIN m USING (read_ord)""",
+    "pair_orientation": f"""WITH {READS}, {_JOINED}, t AS (SELECT pair_id, a.read_ord, a.seq, a.n, b.seq AS seq2, b.n AS n2, 'CATGMAGTTAAGGAAGT' AS primer FROM p JOIN reads a ON first = a.read_ord JOIN reads b ON second = b.read_ord),
+      u AS (SELECT pair_id, read_ord, seq2 AS seq, n2 AS n, primer FROM t), h AS ({_hits('t', 'primer', 'range(0, 10)', 1, 0.5, 'min')}), g AS ({_hits('u', 'primer', 'range(0, 10)', 1, 0.5, 'min')})
+      SELECT pair_id, g.start IS NOT NULL AND h.start IS NULL AS swapped FROM t LEFT JOIN h USING (read_ord) LEFT JOIN g USING (read_ord)""",
     "merge_consensus": f"WITH {_APART} SELECT read_ord, seq, CAST(160 - n AS INTEGER) AS overlap, CAST(0 AS INTEGER) AS mismatches, CAST(n AS INTEGER) AS merge_length FROM apart",
     "merge_statistics": f"WITH {_APART} SELECT sample_id, count(*) AS n_pairs, count(*) AS n_merged, avg(160.0 - n) AS mean_overlap, CAST(0 AS DOUBLE) AS mean_mismatches FROM apart GROUP BY 1",
     "pair_join": f"WITH {READS}, {_JOINED} SELECT pair_id, first, second FROM p",
@@ -279,7 +303,6 @@ ORACLES = {
     "cluster_parse": f"WITH {_UC} SELECT rec_ord AS line_no, read_id AS query, target, CAST(97 + rec_ord % 4 AS DOUBLE) AS identity FROM h",
     "chimera_split": f"WITH {_UC} SELECT line_no, otu, CAST(n_targets AS INTEGER) AS n_targets FROM z",
     "otu_matrix_long": f"WITH {_UC} SELECT otu, sample_id, round(n, 4) AS n FROM c",
-    "otu_matrix": f"WITH {_UC} SELECT otu, " + ", ".join(f"CAST(coalesce(round(max(n) FILTER (sample_id = 'derep_RUN00{k}')), 0) AS BIGINT) AS derep_RUN00{k}" for k in range(3)) + " FROM c WHERE sample_id IN ('derep_RUN000', 'derep_RUN001', 'derep_RUN002') GROUP BY 1",
     "otu_matrix_all": f"WITH {_UC}, m AS (SELECT otu, sample_id, CAST(round(n) AS BIGINT) AS n FROM c UNION ALL SELECT otu, sample_id, CAST(0 AS BIGINT) FROM (SELECT DISTINCT otu FROM c), (SELECT DISTINCT sample_id FROM c)) FROM (PIVOT m ON sample_id USING CAST(sum(n) AS BIGINT) GROUP BY otu)",
     "otu_added_counts": f"WITH {_UC} SELECT otu, sample_id, round(sum(n / n_targets * CASE WHEN line_no % 2 = 0 THEN 2 ELSE 1 END), 4) AS n FROM z JOIN f USING (query) GROUP BY 1, 2",
     "otu_unknown": f"WITH {_UC} SELECT otu, count(*) AS n FROM z WHERE otu NOT IN (SELECT otu FROM z WHERE n_targets = 1) GROUP BY 1",

@@ -60,7 +60,7 @@ def strip_ambiguous(spark, d: str) -> DataFrame:
 
 def canonical_output(spark, d: str) -> DataFrame:
     s = F.col("seq")
-    return reads(spark, d).select("read_ord", fs.canonical(s).alias("canonical"), fs.canonical(s, "N").alias("masked"))
+    return reads(spark, d).select("read_ord", fs.canonical(s).alias("canonical"), fs.canonical(s, "N").alias("masked"), fs.canonical_quality(s, F.col("quality"), F.col("qual_offset")).alias("quality"))
 
 
 def quality_rebase(spark, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLES = {
     "ambiguity_homopolymer": f"WITH {READS} SELECT read_ord, CAST(length(regexp_replace(seq, '[ACGT]', '', 'g')) AS INTEGER) AS ambiguous, ({_RUNS}) AS long_run FROM reads",
     "tail_homopolymer_trim": f"WITH {READS}, t AS (SELECT read_ord, n, CAST(n - length(rtrim(seq, seq[-1:])) AS INTEGER) AS tail_run FROM reads) SELECT read_ord, tail_run, CAST(CASE WHEN tail_run >= 4 AND 4 < n THEN greatest(1, n - tail_run) ELSE n END AS INTEGER) AS kept_length FROM t",
     "strip_ambiguous": f"WITH {READS} SELECT read_ord, regexp_replace(regexp_replace(seq, '^[^ACGT]+', ''), '[^ACGT]+$', '') AS seq FROM reads",
-    "canonical_output": f"WITH {READS} SELECT read_ord, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS canonical, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS masked FROM reads",
+    "canonical_output": f"WITH {READS} SELECT read_ord, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS canonical, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS masked, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN contains('ACGT', seq[i]) THEN quality[i] ELSE chr(qual_offset) END), '') AS quality FROM reads",
     "quality_rebase": f"WITH {SCORED} SELECT read_ord, array_to_string(list_transform(q, lambda x: chr(CAST(least(126, greatest(x, 0) + 33) AS INTEGER))), '') AS quality FROM scored",
     "header_forms": f"""WITH {READS}, h AS (SELECT read_ord, substr(header, 2) AS h, regexp_extract(substr(header, 2), '^\\S*') AS w FROM reads), p AS (SELECT *, string_split(w, ':') AS p FROM h)
   SELECT read_ord, regexp_replace(regexp_extract(h, '^[^ \\t]*'), '([/.][12]|#[12]:0)$', '') AS pair_stem, regexp_replace(h, '^(\\S+) ([12]):.*$', '\\1/\\2') AS slash_mate,

@@ -318,11 +318,14 @@ def read_mates(spark: SparkSession, paths: str | list[str], **options: str) -> D
 
 
 def with_quality(fasta: DataFrame, qual: DataFrame) -> DataFrame:
-    """FASTA records with the scores of a QUAL file (numbers, as read_qual gives them); NO_QUALITY for each base without."""
-    joined = fasta.drop("quality").join(qual.select("read_id", "scores"), "read_id", "left")
+    """FASTA records with the scores of a QUAL file (numbers, as read_qual gives them) in `scores` and as text of offset 33 in `quality`;
+    NO_QUALITY for each base of a record without scores. Scores over 93 are 93 in the text, those under 0 are 0."""
+    joined = fasta.drop("quality", "qual_offset").join(qual.select("read_id", "scores"), "read_id", "left")
     plain = F.transform(F.sequence(F.lit(1), F.length("sequence")), lambda _: F.lit(NO_QUALITY))
     empty = F.array().cast("array<int>")
-    return joined.withColumn("scores", F.coalesce("scores", F.when(F.length("sequence") > 0, plain).otherwise(empty)))
+    scored = joined.withColumn("scores", F.coalesce("scores", F.when(F.length("sequence") > 0, plain).otherwise(empty)))
+    text = F.array_join(F.transform("scores", lambda x: F.chr(F.least(F.lit(93), F.greatest(F.lit(0), x)) + 33)), "")
+    return scored.withColumns({"quality": text, "qual_offset": F.lit(33)})
 
 
 def read_qual(spark: SparkSession, path: str) -> DataFrame:

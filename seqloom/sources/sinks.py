@@ -84,6 +84,26 @@ def write_derep(derep: DataFrame, occurrences: DataFrame, samples: DataFrame, pa
     write_text(named, F.concat_ws("\t", title, F.col("occurrences")), f"{path}/map")
 
 
+def write_reports(graded: DataFrame, path: str) -> None:
+    """The reports of a run, a folder of tab-separated text each: counters, reads accepted by sample and by file, lengths and mean
+    qualities as histograms, bases. The graded reads are written once and read by each report."""
+    from ..operators import reports
+    from ..session import written
+
+    g = written(graded)
+    accepted = {f"accepted_by_{c.removesuffix('_id').removesuffix('_name')}": reports.accepted_by(g.filter(F.col(c).isNotNull()), [c]) for c in ("sample_id", "file_name") if c in g.columns}
+    passed = g.filter(F.col("tier") != "failed")
+    tables = {
+        "counters": reports.counters(g),
+        **accepted,
+        "lengths": reports.histogram(passed, F.col("length"), ["mate"]),
+        "mean_qualities": reports.histogram(passed, F.floor(F.col("mean_quality") + 0.5), ["mate"]),
+        "bases": reports.base_table(passed, ["mate"]),
+    }
+    for name, t in tables.items():
+        write_table(t, f"{path}/{name}")
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A report or matrix as tab-separated text with a header."""
     df.write.option("sep", "\t").option("header", True).csv(path)
