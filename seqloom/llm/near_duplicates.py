@@ -39,7 +39,7 @@ RUN = 8
 BITS, LEAF_BITS = 1 << 13, 1 << 10
 FAN = 4
 LEAF = 8
-BLOCK = 2048
+BLOCK = 8192
 #: Letters of a stretch, at most.
 STRETCH = 16
 FRONT = 1 << 20
