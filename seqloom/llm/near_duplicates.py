@@ -254,9 +254,13 @@ def signed(records: DataFrame, threshold: float, run: int = RUN) -> DataFrame:
                 small = np.flatnonzero(size < few)
                 more = [prefix(t, i) for i in small]
                 row = np.concatenate((row, np.repeat(small, [len(x) for x in more])))
-                order = np.argsort(row, kind="stable")
+                key = np.concatenate((key, *more))
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                new = np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, bool)
+                row, key = row[new], key[new]  # a root once a record
                 bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts))))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate((key, *more))[order].view(np.int64)))
+                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64)))
                 columns = [pa.array(size.astype(np.int32)), pa.array(slack.astype(np.int32)), listed, pa.array(letters.astype(np.int32)), binary(*body), binary(*other)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["rep", "size", "slack", "keys", "letters", "body", "other"])
 
@@ -406,8 +410,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(k: np.ndarray, r: np.ndarray, ends: bool) -> Iterator[pa.RecordBatch]:
         """Of whole roots; the last one may go on if not `ends`, and has more than LEAF records then."""
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, bool)
-        k, r = k[new], r[new]  # a root may be in a record twice
         if not len(k):
             return
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -511,7 +513,7 @@ def trees(signs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame
 def similar_records(records: DataFrame, threshold: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """a < b, similarity: the pairs of different texts in records (rep bigint, text) with at least this similarity, once each."""
     signs = written(signed(records, threshold, run))
-    roots = signs.select(F.explode("keys").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
+    roots = signs.select(F.explode("keys").alias("key"), "rep").repartition("key").sortWithinPartitions("key")
     shared = written(roots.mapInArrow(_shared, "key bigint, a bigint, b bigint"))
     members = shared.filter("b IS NULL").select("key", F.col("a").alias("rep"))
     grown = trees(signs, members, block).mapInArrow(lambda b: _traverse(b, threshold, run), "a bigint, b bigint")
