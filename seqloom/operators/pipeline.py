@@ -110,6 +110,8 @@ def demultiplexed(reads: DataFrame, samples: DataFrame | None, config: FilterCon
     Without a map (None) no sample is asked for: adapters in `clip` and the start of reads are cut instead.
     """
     require_implemented(config)
+    if config.check_mixed_pairs:
+        raise ValueError("CheckForMixedPairs needs pairs: demultiplexed_pairs")
     reads = _offset(reads.drop("sample_id", "sample_idx"), config)
     if samples is None:
         cut = clip_adapters(without_adapter(reads, config.adapter), clip or [])

@@ -173,7 +173,7 @@ def test_chimeras_and_matrix(spark):
 def test_matrix_of_all_samples(spark, tmp_path):
     rows = [(k, f"derep_RUN{k % 5:03d}.fa", f"r{k}") for k in range(25)]
     spark.createDataFrame(rows, "rec_ord bigint, file_name string, read_id string").write.parquet(str(tmp_path / "fasta_records.parquet"))
-    got = group_queries.otu_matrix_all(spark, str(tmp_path))
+    got = group_queries.otu_matrix(spark, str(tmp_path))
     assert got.columns == ["otu", *(f"derep_RUN{k:03d}" for k in range(5))]
     want = {}  # each record is one read; every seventh line is no hit
     for k, f, _ in rows:

@@ -115,13 +115,21 @@ def test_options():
         parse_options(["nonsense 1"])
 
 
-@pytest.mark.parametrize("line", ["PEheaderPairFmt 1", "ExtensivePrimerChecks T", "AmpliconShortPE T", "CheckForMixedPairs T", "CheckForReversedSeqs T"])
-def test_options_not_implemented(spark, line):
+@pytest.mark.parametrize(("line", "field"), [("PEheaderPairFmt 1", "pair_format"), ("AmpliconShortPE T", "short_amplicon")])
+def test_options_not_implemented(line, field):
     with pytest.raises(ValueError, match=line.split()[0]):
         parse_options([line])
     assert parse_options([line.split()[0] + " 0"]) == FilterConfig()
     with pytest.raises(ValueError, match="not implemented"):
-        demultiplexed(None, None, FilterConfig(check_reversed=True))
+        demultiplexed(None, None, FilterConfig(**{field: 1}))
+
+
+def test_options_of_pairs():
+    """Mixed mates can be told in pairs only; asking for it elsewhere is an error and not ignored."""
+    config = parse_options(["CheckForMixedPairs T", "ExtensivePrimerChecks T", "CheckForReversedSeqs T"])
+    assert config.check_mixed_pairs and config.extensive_primers and config.check_reversed
+    with pytest.raises(ValueError, match="demultiplexed_pairs"):
+        demultiplexed(None, None, config)
 
 
 def test_options_of_keys_and_offsets(spark):
