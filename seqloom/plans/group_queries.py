@@ -303,7 +303,7 @@ ORACLES = {
     "cluster_parse": f"WITH {_UC} SELECT rec_ord AS line_no, read_id AS query, target, CAST(97 + rec_ord % 4 AS DOUBLE) AS identity FROM h",
     "chimera_split": f"WITH {_UC} SELECT line_no, otu, CAST(n_targets AS INTEGER) AS n_targets FROM z",
     "otu_matrix_long": f"WITH {_UC} SELECT otu, sample_id, round(n, 4) AS n FROM c",
-    "otu_matrix_all": f"WITH {_UC}, m AS (SELECT otu, sample_id, CAST(round(n) AS BIGINT) AS n FROM c UNION ALL SELECT otu, sample_id, CAST(0 AS BIGINT) FROM (SELECT DISTINCT otu FROM c), (SELECT DISTINCT sample_id FROM c)) FROM (PIVOT m ON sample_id USING CAST(sum(n) AS BIGINT) GROUP BY otu)",
+    "otu_matrix": f"WITH {_UC}, m AS (SELECT otu, sample_id, CAST(round(n) AS BIGINT) AS n FROM c UNION ALL SELECT otu, sample_id, CAST(0 AS BIGINT) FROM (SELECT DISTINCT otu FROM c), (SELECT DISTINCT sample_id FROM c)) FROM (PIVOT m ON sample_id USING CAST(sum(n) AS BIGINT) GROUP BY otu)",
     "otu_added_counts": f"WITH {_UC} SELECT otu, sample_id, round(sum(n / n_targets * CASE WHEN line_no % 2 = 0 THEN 2 ELSE 1 END), 4) AS n FROM z JOIN f USING (query) GROUP BY 1, 2",
     "otu_unknown": f"WITH {_UC} SELECT otu, count(*) AS n FROM z WHERE otu NOT IN (SELECT otu FROM z WHERE n_targets = 1) GROUP BY 1",
     "seed_percentiles": f"WITH {READS}, r AS (SELECT seq_run, n, row_number() OVER (PARTITION BY seq_run ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY seq_run) AS c FROM reads) SELECT seq_run, CAST(p AS INTEGER) AS point, CAST(n AS INTEGER) AS value FROM r JOIN (SELECT unnest([0, 10, 50, 90, 100]) AS p) ON i = floor((c - 1) * p / 100)",
