@@ -2,8 +2,8 @@
 
 Each document has a membership over the target sources: its own source where it is a target,
 nothing where its source is none, and a classifier's posteriors where its source is missing. The
-classifier is fitted on a bounded sample of documents with a source, by sums in the cluster. Document rates between 0
-and the source's repeats are fitted by projected gradient steps on the squared difference of
+classifier is fitted on a bounded sample of documents with a source, by sums in the cluster, and reads whole texts.
+Document rates between 0 and the source's repeats are fitted by projected gradient steps on the squared difference of
 expected and wanted tokens of each source; a step needs only the vector of expected tokens, which
 is a distributed sum. Rates become whole numbers by systematic rounding along running sums in
 order of size, so a source's tokens come out within about one document of the expected.
@@ -22,50 +22,81 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import running_sum
 from ..session import written
-from . import tokens
+from . import mail, tokens
 
 #: Labelled documents that the classifier is fitted on, about, in equal parts by label.
 SAMPLE = 4000
 FEATURES = 1 << 14
+#: How much the way a mail came and its words may count, of which the likeliest pair is taken.
+WEIGHTS = np.array([(a, b) for a in (0, *(2.0**e for e in range(-4, 5))) for b in (0, *(2.0**e for e in range(-4, 5)))])
 STEPS = 60
 ENOUGH = 1e-4
 
 HEADER = re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*([^\n]*)", re.M)
+FOLD = re.compile(r"\n[ \t]+")
 DOMAIN = re.compile(r"@([\w.-]+)")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def features(text: str) -> np.ndarray:
-    """Numbers of what the head of a mail shows of the way it came: its header lines and their order, domains, kinds of content,
-    subject words, time zone, form of the id, line ends and length."""
-    head, _, _ = text.replace("\r\n", "\n").partition("\n\n")
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the way a mail came (its header lines, unfolded, and their order, domains, kinds of content, subject words, time
+    zone, form of the id, line ends and length) and of all words in it, those of the whole text as written and of the decoded body."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n")
+    head, _, _ = lines.lstrip("\n").partition("\n\n")
     found, names = {f"length {len(text).bit_length()}", f"crlf {text.count(chr(13)) > 0}"}, []
-    for name, value in HEADER.findall(head):
+    for name, value in HEADER.findall(FOLD.sub(" ", head)):
         name = name.lower()
         names.append(name)
-        found |= {f"{name}@{d}" for d in DOMAIN.findall(value)[:8]}
+        found |= {f"{name}@{d}" for d in DOMAIN.findall(value)}
         if name == "subject":
             found |= {f"subject {w}" for w in WORD.findall(value.lower())}
         elif name == "date":
             found.add(f"zone {value[-5:]}")
         elif name.startswith(("content-", "x-", "mime", "received", "precedence")):
-            found |= {f"{name} {w}" for w in re.findall(r"[\w/-]{3,}", value)[:8]}
+            found |= {f"{name} {w}" for w in re.findall(r"[\w/-]{3,}", value)}
     found |= {f"has {n}" for n in names} | {"order " + ",".join(names)}
+    try:
+        body = mail.body_of(text)
+    except UnicodeError:  # named in a code that can't be read; its words as written are there
+        body = ""
+    words = {m[0] for t in (lines, body) for m in WORD.finditer(t.lower())}
+    return _numbers(found), _numbers(words)
+
+
+def _numbers(found: set[str]) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for w in found], np.int64))
 
 
 class SourceClassifier:
-    """Naive Bayes over hashed features: from counts by label and feature, with the number of documents last, the posteriors of a text."""
-
-    def __init__(self, labels: list[str], counts: np.ndarray, prior: np.ndarray) -> None:
-        self.labels, self.prior = labels, prior + 1.0
-        self.log = np.log((counts[:, :FEATURES] + 0.5) / (counts[:, FEATURES:] + 1.0))
+    """Naive Bayes over hashed features of two kinds: from counts by label and feature, with the number of documents last, the posteriors of a text."""
+
+    def __init__(self, labels: list[str], counts: np.ndarray, prior: np.ndarray, weights: np.ndarray | None = None) -> None:
+        self.labels, self.prior, self.counts = labels, prior + 1.0, counts
+        self.weights = np.ones(2) if weights is None else weights
+        self.log_prior = np.log(self.prior / self.prior.sum())
+
+    def evidence(self, seen: tuple[np.ndarray, np.ndarray], own: int | None = None) -> np.ndarray:
+        """How much either kind speaks for each label; without the document itself where it was counted under `own`.
+
+        A label's rate of a feature is taken half and half with that of all, so what no document of a label has speaks alike
+        against labels of few and of many documents.
+        """
+        out = np.zeros((2, len(self.labels)))
+        for kind, at in enumerate(seen):
+            c, n = self.counts[:, kind * FEATURES + at], self.counts[:, -1:].copy()
+            if own is not None:
+                c[own] -= 1
+                n[own] -= 1
+            c = c[:, c.sum(0) > 0]
+            if c.size:
+                ratio = c / np.maximum(n, 1) / (c.sum(0) / n.sum())
+                out[kind] = np.log((ratio + 1) / 2).sum(1) / np.sqrt(c.shape[1])  # features of a mail are far from independent
+        return out
 
     def posteriors(self, text: str | None) -> np.ndarray:
-        score = np.log(self.prior / self.prior.sum())
+        score = self.log_prior
         if text:
-            at = features(text)
-            score = score + self.log[:, at].sum(1) / np.sqrt(max(1, len(at)))  # features of a mail are far from independent
+            score = score + self.weights @ self.evidence(features(text))
         p = np.exp(score - score.max())
         return p / p.sum()
 
@@ -73,39 +104,69 @@ class SourceClassifier:
 def classifier(docs: DataFrame, labels: list[str], id_column: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE) -> SourceClassifier:
     """Fitted on about `sample` documents whose source is a label, as many of each (all, where there are fewer), chosen by a hash of the id.
 
-    One pass over ids and sources and one over the texts of the sample; the driver gets one row of counts a label.
+    One pass over ids and sources and one over the texts of the sample; the driver gets one row of counts a label. The
+    weights of both kinds of features are those under which each document of the sample is the likeliest by all others;
+    documents count by how many of their label there are.
     """
     known = docs.filter(F.col(source).isin(labels) & F.col(text).isNotNull())
     n = {r[0]: r[1] for r in known.groupBy(source).count().collect()}
     prior = np.array([n.get(x, 0) for x in labels], float)
     rate = {x: min(1.0, sample / max(1, len(labels)) / n[x]) for x in labels if n.get(x)}
     if not rate:
-        return SourceClassifier(labels, np.zeros((len(labels), FEATURES + 1)), prior)
+        return SourceClassifier(labels, np.zeros((len(labels), 2 * FEATURES + 1)), prior)
     least = F.element_at(F.create_map(*[F.lit(v) for x, r in rate.items() for v in (x, round(r * (1 << 30)))]), F.col(source))
     taken = known.filter(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < least).select(source, text)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [[at.astype(np.int32).tobytes() for at in features(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *(pa.array([x[k] for x in seen], pa.binary()) for k in (0, 1))], ["label", "way", "words"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = sums.setdefault(label, np.zeros(FEATURES + 1, np.int64))
-                row[features(t)] += 1
-                row[FEATURES] += 1
+        for label, seen in _seen(batches):
+            row = sums.setdefault(label, np.zeros(2 * FEATURES + 1, np.int64))
+            for kind, at in enumerate(seen):
+                row[kind * FEATURES + at] += 1
+            row[-1] += 1
         yield _rows(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = sums.setdefault(label, np.zeros(FEATURES + 1, np.int64))
+                row = sums.setdefault(label, np.zeros(2 * FEATURES + 1, np.int64))
                 row += np.frombuffer(raw, np.int64)
         yield _rows(sums)
 
     kind = "label string, counts binary"
-    counts = np.zeros((len(labels), FEATURES + 1))
-    for label, raw in taken.mapInArrow(count, kind).repartition("label").mapInArrow(add, kind).collect():
+    sampled = written(taken.mapInArrow(read, "label string, way binary, words binary"))
+    counts = np.zeros((len(labels), 2 * FEATURES + 1))
+    for label, raw in sampled.mapInArrow(count, kind).repartition("label").mapInArrow(add, kind).collect():
         counts[labels.index(label)] = np.frombuffer(raw, np.int64)
-    return SourceClassifier(labels, counts, prior)
+    held = docs.sparkSession.sparkContext.broadcast(SourceClassifier(labels, counts, prior))
+
+    def surprise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        share = c.prior / c.prior.sum() / np.maximum(c.counts[:, -1], 1)
+        total = np.zeros(len(WEIGHTS), np.int64)  # whole numbers add up alike in whatever order
+        for label, seen in _seen(batches):
+            own = c.labels.index(label)
+            score = c.log_prior + WEIGHTS @ c.evidence(seen, own)
+            top = score.max(1)
+            total += np.rint((np.log(np.exp(score - top[:, None]).sum(1)) + top - score[:, own]) * share[own] * (1 << 40)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(WEIGHTS)), pa.int32()), pa.array(total)], ["pair", "loss"])
+
+    losses = sampled.mapInArrow(surprise, "pair int, loss bigint").groupBy("pair").agg(F.sum("loss").alias("loss"))
+    best = losses.orderBy("loss", "pair").first()
+    return SourceClassifier(labels, counts, prior, WEIGHTS[best[0]] if best else None)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[np.ndarray]]]:
+    """Label and features of each document of the sample."""
+    for batch in batches:
+        for label, *seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield label, [np.frombuffer(at, np.int32) for at in seen]
 
 
 def _rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -138,10 +199,10 @@ def _fit(members: DataFrame, shares: np.ndarray, caps: np.ndarray) -> tuple[np.n
     Documents with the same membership move alike under the gradient (scaled by the size of a document), so the
     state of all rates is what the steps so far add up to for a membership; that is kept for each distinct one.
     """
-    groups = members.filter(F.col("n_tokens") > 0).groupBy("member").agg(F.sum("n_tokens").alias("t")).filter(F.aggregate("member", F.lit(0.0), lambda a, x: a + x) > 0)
-    one_hot = F.array_max("member") == 1
-    pure = {int(np.argmax(r[0])): float(r[1]) for r in groups.filter(one_hot).collect()}  # one row a source
-    soft = groups.filter(~one_hot)
+    labelled = F.col("source").isNotNull().alias("labelled")  # a posterior may be 1 as well
+    groups = members.filter(F.col("n_tokens") > 0).groupBy(labelled, "member").agg(F.sum("n_tokens").alias("t")).filter(F.aggregate("member", F.lit(0.0), lambda a, x: a + x) > 0)
+    pure = {int(np.argmax(r[0])): float(r[1]) for r in groups.filter("labelled").select("member", "t").collect()}  # one row a source
+    soft = groups.filter("NOT labelled")
     k = len(shares)
     own = np.array([pure.get(j, 0.0) for j in range(k)])
     wanted = np.where(own > 0, shares, 0)
@@ -153,9 +214,9 @@ def _fit(members: DataFrame, shares: np.ndarray, caps: np.ndarray) -> tuple[np.n
     rates = np.zeros(k)
     path: list[np.ndarray] = []
     soft, before = written(soft.select("member", "t")), np.full(k, np.inf)
-    # a step is scaled by what can move: the tokens of a source, or those that lean to it where none are wanted
+    # a step is scaled by what can move, the tokens of a source and those that lean to it: less would overshoot
     lean = soft.agg(*[F.sum(F.col("t") * F.get("member", F.lit(j))).alias(f"e{j}") for j in range(k)]).first()
-    size = np.maximum(np.where(wanted > 0, own, [x or 0.0 for x in lean]), 1)
+    size = np.maximum(np.where(wanted > 0, own, 0) + [x or 0.0 for x in lean], 1)
     for _ in range(STEPS):
         expected = rates * own + _soft_tokens(soft, path, caps)
         gap = (expected - goal) / size

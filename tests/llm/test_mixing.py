@@ -1,3 +1,4 @@
+import base64
 import os
 import random
 
@@ -72,3 +73,38 @@ def test_no_mixture_is_an_error(spark, docs, monkeypatch):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS)
     with pytest.raises(ValueError, match="still move"):
         mixing.mixed(docs, targets)
+
+
+def test_whole_text(spark):
+    """Sources that differ in a word at the end of long texts only, in an encoded body or far down in a header line are told apart."""
+    r = random.Random(6)
+    head = "From: x@y.test\nSubject: note\n"
+    filler = lambda: "\n\n".join(" ".join(r.choice(["one", "two", "three", "four"]) for _ in range(40)) for _ in range(30))
+    encoded = lambda x: base64.b64encode(x.encode()).decode()
+    ways = {
+        "end": lambda word: f"{head}\n{filler()}\n\n{word}",
+        "bare": lambda word: f"{filler()}\n\n{word}",
+        "encoded": lambda word: f"{head}Content-Transfer-Encoding: base64\n\n{encoded('one two ' * r.randint(20, 60) + word)}",
+        "folded": lambda word: f"{head}Received: from z\n by {word}\n\none",
+        "ninth": lambda word: f"{head}To: {', '.join(f'u@d{i}.test' for i in range(8))}, u@{word}.test\n\none",
+    }
+    for way, text in ways.items():
+        rows = [(i, text(("alpha", "beta")[i % 2]), "ab"[i % 2]) for i in range(200)]
+        c = mixing.classifier(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), ["a", "absent", "b"])
+        told = [c.labels[c.posteriors(text(word)).argmax()] for word in ("alpha", "beta") * 10]
+        assert told == ["a", "b"] * 10, way
+
+
+@pytest.mark.parametrize("missing", [0.1, 0.9])
+def test_missing_sources_by_words(spark, missing):
+    """Mails without head and source are booked by their words, whether few or most of them."""
+    r = random.Random(7)
+    words, truth, rows = {"a": "alpha apple", "b": "beta banana"}, {}, []
+    for i in range(600):
+        truth[i] = s = r.choice("aab")
+        rows.append((i, " ".join(r.choice(words[s].split()) for _ in range(r.randint(1, 30))), s if r.random() > missing else None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    used = mixing.mixed(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS)).collect()
+    unknown = {i for i, _, s in rows if s is None}
+    assert any(x.doc_id in unknown for x in used)
+    assert all(truth[x.doc_id] == x.source for x in used)
